@@ -1,9 +1,10 @@
 """BPE encoding and decoding of whole texts, exactly as the tokenizers library does.
 
-White space never joins two pre-tokens of this vocabulary, so a slice of
-documents is cut at ASCII white space, its distinct words are found by one
-dictionary encoding, each distinct word is encoded once per worker (a bounded
-cache), and the ids of all documents are put together by one Arrow ``take``.
+White space never joins two pre-tokens of this vocabulary, and neither do a
+plain letter and a plain punctuation mark.  So a slice of documents is cut at
+those places, its distinct parts are found by one dictionary encoding, each
+distinct part is encoded once per worker (a bounded cache), and the ids of all
+documents are put together by one Arrow ``take``.
 
 A pre-token longer than a leaf is encoded by tree concatenation: its halves are
 encoded on their own (side by side when it is very long), then a window of
@@ -22,6 +23,7 @@ are ignored; an empty table gives an empty result.
 
 import json
 import re
+import struct
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -35,7 +37,39 @@ from mmspark.llm._spark import ready
 LEAF = 256
 #: Letters whose lower case is one letter and that normalisation leaves alone, then ASCII punctuation without the apostrophe.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-_WHITE = b" \t\n\x0b\x0c\r"
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+def _parts(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(parts of words, first part of each document); concatenated, the encodings of the parts are that of the text.
+
+    Words are cut between a letter (ASCII or Latin-1) and an ASCII mark other
+    than the apostrophe, either way round, and ASCII capitals become small
+    where no combining mark can follow.  A slice that may hold a special token
+    is left as it is.
+    """
+    starts, _, _ = T.words(data, off)
+    if not len(starts):
+        return pa.array([], pa.large_binary()), np.zeros(len(off), np.int64)
+    solid = ~T._WS[data]
+    if b"<|" not in data.tobytes():
+        upper = (data >= 65) & (data <= 90)
+        upper[:-1] &= data[1:] < 128
+        upper[-1] = False
+        data = np.where(upper, data + np.uint8(32), data)
+        letter, mark = _LETTER[data], _MARK[data]
+        wide = letter.copy()  # also the second byte of a Latin-1 letter
+        wide[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 128) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        begin = np.zeros(len(data), bool)
+        begin[1:] = (wide[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+        begin[starts] = True
+        starts = np.flatnonzero(begin)
+    place = np.cumsum(solid)
+    cuts = np.append(place[starts] - 1, place[-1]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data[solid])]), np.searchsorted(starts, off)
+
 
 
 def byte_letters() -> list[str]:
@@ -119,8 +153,11 @@ class Codec:
         parts = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(w))
         return [i for p, _ in parts for i in self.piece(p)]
 
-    def segment(self, b: bytes) -> bytes:
-        got = np.array(self.word(b.rstrip(_WHITE).decode("utf-8")), "<u4").tobytes()
+    def part(self, b: bytes) -> bytes:
+        """The ids of a part, as bytes."""
+        s = b.decode("utf-8")
+        ids = [t.id for t in self.model.tokenize(s)] if len(b) <= LEAF and s.isascii() and s.isalpha() and s.islower() else self.word(s)
+        got = struct.pack(f"<{len(ids)}I", *ids)
         if len(b) <= 1024:
             if len(self.words) >= self.cache_words:
                 self.words.clear()
@@ -131,14 +168,12 @@ class Codec:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents as little-endian uint32, offsets in ids)."""
-        starts, _, first = T.words(data, off)
-        if not len(starts):
+        parts, first = _parts(data, off)
+        if not len(parts):
             return np.zeros(0, "<u4"), np.zeros(len(off), np.int64)
-        cuts = np.append(starts, len(data)).astype(np.int64)
-        segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = segments.dictionary_encode()
-        known, make = self.words.get, self.segment
-        # an empty value is a word without ids, so only None is a miss
+        coded = parts.dictionary_encode()
+        known, make = self.words.get, self.part
+        # an empty value is a part without ids, so only None is a miss
         values = pa.array([x if (x := known(b)) is not None else make(b) for b in coded.dictionary.to_pylist()], pa.large_binary())
         taken = values.take(coded.indices)
         _, o, ids = taken.buffers()
