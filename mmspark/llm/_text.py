@@ -8,6 +8,8 @@ Python cost is per slice and not per word.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(data: np.ndarray, off: np.ndarray, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(data: np.ndarray, off: np.ndarray, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, bytes, offsets) of runs of whole documents of about max_bytes."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -47,12 +49,20 @@ def slices(data: np.ndarray, off: np.ndarray, max_bytes: int = 2 << 20) -> Itera
         i = j
 
 
-def documents(batches: Iterable[pa.RecordBatch], max_bytes: int = 2 << 20):
+def release() -> None:
+    """Give freed memory back to the system, at the end of a task: workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def documents(batches: Iterable[pa.RecordBatch], max_bytes: int = 1 << 20):
     """(batch slice, bytes, offsets) for each run of documents; the text column is named ``text``."""
     for batch in batches:
         data, off = buffers(batch.column(batch.schema.get_field_index("text")))
         for i, j, d, o in slices(data, off, max_bytes):
             yield batch.slice(i, j - i), d, o
+    release()
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -77,6 +87,41 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.flatnonzero(finish) + 1, np.searchsorted(starts, off)
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
+def parts(data: np.ndarray, off: np.ndarray, plain: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """(parts of words, first part of each document).
+
+    Words are cut between a letter (ASCII or Latin-1) and an ASCII mark other
+    than the apostrophe, either way round, and ASCII capitals become small
+    where no combining mark can follow.  If plain, whole words are left as they
+    are.
+    """
+    starts, _, _ = words(data, off)
+    if not len(starts):
+        return pa.array([], pa.large_binary()), np.zeros(len(off), np.int64)
+    solid = ~_WS[data]
+    if not plain:
+        upper = (data >= 65) & (data <= 90)
+        upper[:-1] &= data[1:] < 128  # the next document's first byte, at a document's end: only a missed fold
+        upper[-1] = False
+        data = np.where(upper, data + np.uint8(32), data)
+        letter, mark = _LETTER[data], _MARK[data]
+        wide = letter.copy()  # also the second byte of a Latin-1 letter
+        wide[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 128) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        begin = np.zeros(len(data), bool)
+        begin[1:] = (wide[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+        begin[starts] = True
+        starts = np.flatnonzero(begin)
+    place = np.cumsum(solid)
+    cuts = np.append(place[starts] - 1, place[-1]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data[solid])]), np.searchsorted(starts, off)
+
+
+
 def powers(base: int, n: int) -> np.ndarray:
     got = _powers.get(base)
     if got is None or len(got) < n:

@@ -25,6 +25,7 @@ import json
 import re
 import struct
 from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,41 +38,6 @@ from mmspark.llm._spark import ready
 LEAF = 256
 #: Letters whose lower case is one letter and that normalisation leaves alone, then ASCII punctuation without the apostrophe.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
-_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_MARK[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
-
-
-def _parts(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """(parts of words, first part of each document); concatenated, the encodings of the parts are that of the text.
-
-    Words are cut between a letter (ASCII or Latin-1) and an ASCII mark other
-    than the apostrophe, either way round, and ASCII capitals become small
-    where no combining mark can follow.  A slice that may hold a special token
-    is left as it is.
-    """
-    starts, _, _ = T.words(data, off)
-    if not len(starts):
-        return pa.array([], pa.large_binary()), np.zeros(len(off), np.int64)
-    solid = ~T._WS[data]
-    if b"<|" not in data.tobytes():
-        upper = (data >= 65) & (data <= 90)
-        upper[:-1] &= data[1:] < 128
-        upper[-1] = False
-        data = np.where(upper, data + np.uint8(32), data)
-        letter, mark = _LETTER[data], _MARK[data]
-        wide = letter.copy()  # also the second byte of a Latin-1 letter
-        wide[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 128) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-        begin = np.zeros(len(data), bool)
-        begin[1:] = (wide[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
-        begin[starts] = True
-        starts = np.flatnonzero(begin)
-    place = np.cumsum(solid)
-    cuts = np.append(place[starts] - 1, place[-1]).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data[solid])]), np.searchsorted(starts, off)
-
-
-
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies: itself where it prints, else the next free code point from 256."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -82,17 +48,15 @@ def byte_letters() -> list[str]:
 class Codec:
     """One vocabulary file; encodes words with a bounded cache."""
 
-    def __init__(self, path: str, cache_words: int = 500_000):
-        from tokenizers import Tokenizer, models
+    def __init__(self, path: str, cache_words: int = 250_000):
+        from tokenizers import Tokenizer
 
+        self.path = path
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.suffix = model["end_of_word_suffix"] or ""
         self.model = self.tok.model
-        self.inner = models.BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]])
+        self.suffix = self.model.end_of_word_suffix or ""
         size = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
         self.names = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.width = [len(x.removesuffix(self.suffix)) for x in self.names]
@@ -103,6 +67,21 @@ class Codec:
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
 
+    def forget(self) -> None:
+        """Drop the cache, at the end of a task: the worker lives on."""
+        self.words.clear()
+        self.pieces.clear()
+        T.release()
+
+    @cached_property
+    def inner(self):
+        """The merges without word ends, for what does not end a word; only long unsplit texts need it."""
+        from tokenizers import models
+
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        return models.BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]])
+
     # one pre-token, in byte letters ------------------------------------------------
 
     def leaf(self, s: str, final: bool) -> list[int]:
@@ -135,7 +114,7 @@ class Codec:
         if got is None:
             if len(s) > LEAF:
                 return self.tree(s)
-            if len(self.pieces) >= self.cache_words:
+            if len(self.pieces) >= self.cache_words // 4:
                 self.pieces.clear()
             got = self.pieces[s] = self.leaf(s, True)
         return got
@@ -168,7 +147,7 @@ class Codec:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents as little-endian uint32, offsets in ids)."""
-        parts, first = _parts(data, off)
+        parts, first = T.parts(data, off, plain=b"<|" in data.tobytes())  # perhaps a special token
         if not len(parts):
             return np.zeros(0, "<u4"), np.zeros(len(off), np.int64)
         coded = parts.dictionary_encode()
@@ -216,6 +195,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         for rows, data, off in T.documents(batches):
             ids, at = c.encode(data, off)
             yield pa.RecordBatch.from_arrays([rows.column(0), binaries(ids, at), c.decode(ids, at)], ["doc_id", "ids", "decoded"])
+        c.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string")
 

@@ -8,9 +8,10 @@ and backward) to the words of a bounded sample of labelled documents, and
 smoothed with the pooled distribution.  A letter that no piece covers costs the
 same in every language.
 
-A word here is what a white-space run leaves of the letters of a token, in
-lower case; tokens are found and scored once per worker (a bounded cache), so a
-text costs one dictionary encoding and one gather.
+A word here is what remains of the letters of a token, in lower case; tokens
+end at white space and between plain letters and plain marks.  A token is scored
+once per worker (a bounded cache), so a text costs one dictionary encoding and
+one gather.
 
 Scale: fitting reads ``max_docs`` documents a language (expected number; they
 are chosen by a hash of the id, so no sort) and sends word counts of those to
@@ -90,15 +91,17 @@ class Model:
                 elif hit.any():
                     yield j, k, rows[hit], got[hit]
 
-    def forward(self, words: list[str]) -> tuple[np.ndarray, list]:
+    def forward(self, words: list[str], keep: bool = False) -> tuple[np.ndarray, list]:
+        """(sums up to each letter, lengths and, if kept, the steps)."""
         acc, n = _codes(words)
         alpha = np.zeros((len(words), int(n.max()) + 1, len(self.languages)))
         alpha[:, 0] = 1
-        steps = []
+        kept = [n]
         for j, k, rows, pieces in self.steps(acc, n):
             alpha[rows, j] += alpha[rows, j - k] * self.probs[pieces]
-            steps.append((j, k, rows, pieces))
-        return alpha, [n, *steps]
+            if keep:
+                kept.append((j, k, rows, pieces))
+        return alpha, kept
 
     def long(self, word: str) -> np.ndarray:
         """Log probabilities of one long word, rescaled at each letter."""
@@ -126,8 +129,8 @@ class Model:
         out = np.zeros((len(words), len(self.languages)))
         short = [i for i, w in enumerate(words) if 0 < len(w) < _WHOLE]
         by_length = sorted(short, key=lambda i: len(words[i]))
-        for s in range(0, len(by_length), 20_000):
-            part = by_length[s : s + 20_000]
+        for s in range(0, len(by_length), 8_000):
+            part = by_length[s : s + 8_000]
             alpha, (n, *_) = self.forward([words[i] for i in part])
             out[part] = np.log(alpha[np.arange(len(part)), n])
         for i, w in enumerate(words):
@@ -153,7 +156,7 @@ def train(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 2,
             rows.sort(key=lambda x: len(x[0]))
             for s in range(0, len(rows), 20_000):
                 part = rows[s : s + 20_000]
-                alpha, (n, *steps) = one.forward([w for w, _ in part])
+                alpha, (n, *steps) = one.forward([w for w, _ in part], keep=True)
                 alpha = alpha[:, :, 0]
                 beta = np.zeros_like(alpha)
                 idx = np.arange(len(part))
@@ -176,12 +179,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for rows, data, off in T.documents(batches):
-            starts, ends, first = T.words(data, off)
-            if not len(starts):
+            parts, first = T.parts(data, off)
+            if not len(parts):
                 continue
             lang = rows.column(rows.schema.get_field_index("lang")).take(pa.array(np.repeat(np.arange(len(off) - 1), np.diff(first))))
-            raw = data.tobytes()
-            words = [core(raw[a:b].decode("utf-8")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            words = [core(b.decode("utf-8")) for b in parts.to_pylist()]
             yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(words, pa.string())], ["lang", "word"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string").where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
@@ -206,36 +208,36 @@ def fit(labelled: DataFrame, vocabulary_path: str, max_docs: int = 300) -> Model
 class _Scorer:
     """Scores slices of documents; keeps the scores of words."""
 
-    def __init__(self, model: Model, cache_words: int = 400_000):
+    def __init__(self, model: Model, cache_words: int = 250_000):
         self.model, self.cache_words = model, cache_words
-        self.tokens: dict[bytes, int] = {}
-        self.cores: dict[str, int] = {"": 0}
-        self.table = np.zeros((1, len(model.languages) + 1))
-
-    def rows(self, tokens: list[bytes]) -> np.ndarray:
-        """The row of the table for each token; the last column counts its letters."""
-        if len(self.tokens) > self.cache_words:
-            self.tokens.clear()
-            self.cores = {"": 0}
-            self.table = self.table[:1]
-        got = [self.tokens.get(t, -1) for t in tokens]
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[bytes, int] = {b"": 0}
+        self.table = np.zeros((1, len(self.model.languages) + 1))
+
+    def rows(self, parts: list[bytes]) -> np.ndarray:
+        """The row of the table for each part; the last column counts its letters."""
+        if len(self.row) > self.cache_words:
+            self.clear()
+        known = self.row
+        got = [known.get(b, -1) for b in parts]
         new = [i for i, x in enumerate(got) if x < 0]
-        cores = [core(tokens[i].decode("utf-8")) for i in new]
-        todo = list(dict.fromkeys(c for c in cores if c not in self.cores))
+        cores = [core(parts[i].decode("utf-8")) for i in new]
+        todo = list(dict.fromkeys(c for c in cores if c.encode() not in known))
         if todo:
-            self.cores.update(zip(todo, range(len(self.table), len(self.table) + len(todo)), strict=True))
+            known.update(zip((c.encode() for c in todo), range(len(self.table), len(self.table) + len(todo)), strict=True))
             self.table = np.concatenate([self.table, np.column_stack([self.model.score(todo), [len(c) for c in todo]])])
         for i, c in zip(new, cores, strict=True):
-            got[i] = self.tokens[tokens[i]] = self.cores[c]
+            got[i] = known[parts[i]] = known[c.encode()]
         return np.array(got, np.int64)
 
     def documents(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Sums over the words of each document."""
-        starts, _, first = T.words(data, off)
-        if not len(starts):
+        parts, first = T.parts(data, off)
+        if not len(parts):
             return np.zeros((len(off) - 1, self.table.shape[1]))
-        cuts = np.append(starts, len(data)).astype(np.int64)
-        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        coded = parts.dictionary_encode()
         rows = self.rows(coded.dictionary.to_pylist())
         values = self.table[rows]
         codes = coded.indices.to_numpy()

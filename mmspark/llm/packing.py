@@ -85,7 +85,7 @@ def pack(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int,
     return out
 
 
-def packed(docs: DataFrame, vocabulary: str, separator: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 16, bucket_bytes: int = 16 << 20) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, separator: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 16, bucket_bytes: int = 8 << 20) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, step_group."""
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -99,6 +99,7 @@ def packed(docs: DataFrame, vocabulary: str, separator: int = 2, tiers: tuple[in
         for _, data, off in T.documents(table.to_batches()):
             ids, at = c.encode(data, off)
             docs_ids += [np.append(ids[a:b], np.uint32(separator)).astype("<u4") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        c.forget()
         lengths = [len(x) for x in docs_ids]
         rows: list[tuple] = []
         spent = 0
