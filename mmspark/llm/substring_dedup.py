@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mmspark.llm import _exchange as X
 from mmspark.llm import _text as T
 from mmspark.llm._spark import ready
 
@@ -64,44 +65,8 @@ class _Chunk:
         self.least = self.ids[self.doc[order[new]]] if len(h) else np.zeros(0, np.int64)
 
 
-def _deltas(x: np.ndarray) -> bytes:
-    """Sorted distinct integers: a width byte, then the steps in that many bytes each."""
-    d = x.copy()
-    d[1:] -= x[:-1]
-    width = max(1, (int(d.max()).bit_length() + 7) // 8)
-    return bytes([width]) + d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _undeltas(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8, offset=1).reshape(-1, b[0])
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, : b[0]] = raw
-    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
-
-
 def _ask(window: int, bits: int):
-    def ask(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        u = _Chunk(table, window).unique
-        owner = (u >> T.U(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
-        cuts = np.flatnonzero(np.diff(owner)) + 1
-        low = u & T.U(2 ** (64 - bits) - 1)
-        parts = [x for x in np.split(low, cuts) if len(x)]
-        owners = owner[np.concatenate([[0], cuts]).astype(np.int64)] if len(u) else owner
-        return pa.table({"owner": pa.array(owners, pa.int32()), "chunk": pa.array([chunk] * len(parts), pa.int32()), "hashes": pa.array([_deltas(x) for x in parts], pa.binary())})
-
-    return ask
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    table = table.sort_by("chunk")
-    lists = [_undeltas(b.as_py()) for b in table.column("hashes")]
-    h = np.concatenate(lists)
-    order = np.argsort(h, kind="stable")
-    again = np.zeros(len(h), bool)
-    again[order[1:]] = h[order[1:]] == h[order[:-1]]
-    bits = np.split(again, np.cumsum([len(x) for x in lists])[:-1])
-    return pa.table({"chunk": table.column("chunk"), "owner": table.column("owner"), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary()), "n": pa.array([len(x) for x in bits], pa.int64())})
+    return lambda table: X.ask(_Chunk(table, window).unique, table.column("chunk")[0].as_py(), bits)
 
 
 def _cut(window: int):
@@ -109,11 +74,7 @@ def _cut(window: int):
         c = _Chunk(table, window) if table.num_rows else None
         if c is None:
             return pa.table({"doc_id": pa.array([], pa.int64())})
-        earlier = np.zeros(len(c.unique), bool)
-        at = 0
-        for bits, n in zip(*(answers.sort_by("owner").column(k).to_pylist() for k in ("bits", "n")), strict=True):
-            earlier[at : at + n] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-            at += n
+        earlier = X.read(answers, len(c.unique))
         gone = earlier[c.slot] | (c.least[c.slot] < c.ids[c.doc])
         step = np.zeros(c.n_words + window + 1, np.int64)
         np.add.at(step, c.at[gone], 1)
@@ -134,14 +95,14 @@ def _cut(window: int):
     return cut
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 6 << 20, slice_bytes: int = 10 << 20) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 6 << 20, slice_hashes: int = 1 << 20) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_text (kept words joined by one space), removed (word intervals, end exclusive)."""
     spark = ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n")).first()
     total, n = size["b"] or 0, size["n"]
     n_chunks = int(max(1, min(n or 1, -(-total // chunk_bytes))))
-    bits = int(max(0, np.ceil(np.log2(max(1, total / 6 * 8 / slice_bytes)))))
+    bits = X.slice_bits(total / 6, slice_hashes)
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n_chunks for i in range(1, n_chunks)], 20 * n_chunks).alias("b")).first()["b"] if n_chunks > 1 else []
     bounds = np.unique(np.array(bounds or [], np.int64))
 
@@ -150,8 +111,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 6 << 2
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(), "left").astype(np.int32))
 
     known = docs.where("doc_id is not null").select("doc_id", "text", chunk_of("doc_id").alias("chunk"))
-    asked = known.groupBy("chunk").applyInArrow(_ask(window, bits), "owner int, chunk int, hashes binary")
-    answers = asked.groupBy("owner").applyInArrow(_answer, "chunk int, owner int, bits binary, n long")
+    asked = known.groupBy("chunk").applyInArrow(_ask(window, bits), X.ASKED)
+    answers = asked.groupBy("owner").applyInArrow(X.in_smaller_chunk, X.ANSWERED)
     out = known.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cut(window), SCHEMA)
     w = r"[^\x20\x09-\x0D]+"
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(w), F.lit(0))
