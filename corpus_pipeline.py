@@ -15,7 +15,7 @@ from mmspark.llm.line_dedup import line_dedup
 from mmspark.llm.ngram_join import Settings, ngram_join
 from mmspark.llm.packing import packed
 from mmspark.llm.queries import tokenizer_file
-from mmspark.llm.secrets import redact, secret_scan
+from mmspark.llm.secrets import fingerprint, redact, secret_scan
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Below this posterior a text is in none of the known languages.
@@ -26,16 +26,14 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.select(*COLUMNS[:-1], F.char_length("text").cast("long").alias("n_chars"))
 
 
-def _pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids."""
-    return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language stay, and `lang` becomes the predicted one; texts without letters go."""
+    """Documents in a known language stay, and `lang` becomes the predicted one; texts without letters go.
+
+    Rows that share an id (or have none) share the decision.
+    """
     model = fit(docs.where(~held_out()), tokenizer_file("piece_bpe_32k.model"))
-    known = predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).groupBy("doc_id").agg(F.min("lang_pred").alias("lang"))
-    return docs.drop("lang").join(known, "doc_id").select(*COLUMNS)
+    known = predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).groupBy(F.col("doc_id").alias("id")).agg(F.min("lang_pred").alias("lang"))
+    return docs.drop("lang", "id").join(known, F.col("doc_id").eqNullSafe(F.col("id"))).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +42,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    return _pick(docs, ngram_join(docs, Settings()).where("doc_id = component_id").select("doc_id").distinct())
+    """One document of each group of near copies stays: the one with the smallest id; of repeated rows one, and rows without an id all."""
+    first = ngram_join(docs, Settings()).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Values that look live are replaced by a mark; widely copied examples stay."""
     found = secret_scan(docs)
     live = F.array_sort(F.filter(F.concat("base", "added"), lambda x: F.array_contains("live", x["hash"])))
-    spans = found.select("doc_id", live.alias("spans")).where("size(spans) > 0").groupBy("doc_id").agg(F.max("spans").alias("spans"))
-    marked = docs.join(spans, "doc_id", "left")
+    spans = found.select(F.col("doc_id").alias("id"), F.col("fingerprint").alias("print"), live.alias("spans")).where("size(spans) > 0").dropDuplicates(["id", "print"])
+    docs = docs.select(*COLUMNS)
+    marked = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (fingerprint(F.col("text")) == F.col("print")), "left")
     return _documents(marked.withColumn("text", F.when(F.col("spans").isNotNull(), redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))))
 
 

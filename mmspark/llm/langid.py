@@ -248,6 +248,8 @@ class _Scorer:
 def predict(docs: DataFrame, model: Model, sharpness: float = 60.0) -> DataFrame:
     """One row a document: doc_id, lang_pred, score.  score: the posterior of lang_pred, as of at most `sharpness` letters at the text's mean evidence a letter."""
     ready(docs.sparkSession)
+    if not model.languages:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def run(batches):
         scorer = _Scorer(model)

@@ -14,7 +14,7 @@ a host with a third of all pages does not meet in one task.
 Edge cases: a null text stays null and has no lines; lines are compared
 trimmed of blanks at both ends, and empty ones neither count nor go; a null
 host is a host of its own; repeated rows are pages of their own; other columns
-pass through unchanged; an empty table gives an empty result.
+pass through unchanged, except n_lines and n_removed, which are replaced; an empty table gives an empty result.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -46,10 +46,10 @@ def _trim(line: Column) -> Column:
 def line_dedup(pages: DataFrame, key: Column, text: str = "text", max_ratio: float = 0.3, min_pages: int = 5, salts: int = 64) -> DataFrame:
     """The input with the column `text` rid of its host's boilerplate lines, and n_lines, n_removed (lines that are not empty)."""
     ready(pages.sparkSession)
-    names = pages.columns
+    names = [c for c in pages.columns if c.lower() not in ("n_lines", "n_removed")]
     lines = F.split(F.col(text), "\n", -1)
     digests = F.array_distinct(F.transform(F.filter(lines, lambda x: _trim(x) != ""), lambda x: _digest(_trim(x))))
-    keyed = pages.withColumn("__host", key)
+    keyed = pages.select(*names).withColumn("__host", key)
     hosts = keyed.groupBy("__host").agg(F.count("*").alias("__pages")).where(F.col("__pages") >= min_pages)
     held = keyed.select("__host", F.explode(digests).alias("line")).groupBy("__host", "line").agg(F.count("*").alias("n"))
     common = held.join(hosts, held["__host"].eqNullSafe(hosts["__host"])).where(F.col("n") > max_ratio * F.col("__pages"))

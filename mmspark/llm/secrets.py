@@ -34,7 +34,7 @@ BARE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 SPAN = "array<struct<start:int,kind:int,end:int,hash:bigint>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, least: int, group: int = 0, also: str = "true") -> Column:
+def _spans(text: Column, pattern: str, kind: int, least: int, group: int = 0, mixed: bool = False) -> Column:
     """The matches with at least ``least`` letters in the group, with code point positions.
 
     Matches and the pieces between them alternate, so a running sum of their
@@ -43,7 +43,7 @@ def _spans(text: Column, pattern: str, kind: int, least: int, group: int = 0, al
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     pieces = F.split(text, pattern, -1)
-    ok = lambda v: (F.char_length(v) >= least) & F.expr("true") & (F.lit(True) if also == "true" else v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
+    ok = lambda v: (F.char_length(v) >= least) & (v.rlike("[0-9]") & v.rlike("[A-Za-z]") if mixed else F.lit(True))
     zipped = F.arrays_zip(matches.alias("m"), values.alias("v"), F.slice(pieces, 1, F.size(matches)).alias("p"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -62,19 +62,24 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
 
 
+def fingerprint(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def find(docs: DataFrame, owner: str, repository: str) -> DataFrame:
-    """(row, doc_id, owner, repository, base, other): base spans and other candidates of every row."""
+    """(row, doc_id, fingerprint, owner, repository, base, other): base spans and other candidates of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), text.alias("t"))
     t = F.col("t")
     base = F.array_sort(F.concat(_spans(t, ASSIGN, 0, 6, 2), _spans(t, ACCESS, 1, 20), _spans(t, HEX, 2, 24)))
-    rows = rows.select("doc_id", "owner", "repository", base.alias("base"), _spans(t, BARE, 3, 20, also="mixed").alias("bare"))
+    rows = rows.select("doc_id", fingerprint(t).alias("fingerprint"), "owner", "repository", base.alias("base"), _spans(t, BARE, 3, 20, mixed=True).alias("bare"))
     other = F.filter("bare", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", "base", other.alias("other"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "fingerprint", "owner", "repository", "base", other.alias("other"))
 
 
 def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 2, max_repositories: int = 100) -> DataFrame:
-    """One row a document: row, doc_id, base (spans), added (spans), live (the hashes of its live-looking values), n_live, n_examples."""
+    """One row a document: row, doc_id, fingerprint, base (spans), added (spans), live (the hashes of its live-looking values), n_live, n_examples."""
     ready(docs.sparkSession)
     found = cut(find(docs, owner, repository))
     both = F.concat("base", "other")
@@ -88,7 +93,7 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_i
     added = F.filter("other", lambda x: F.array_contains("live", x["hash"]))
     n = F.size(F.array_distinct(F.transform("base", lambda x: x["hash"])))
     live_base = F.size(F.array_distinct(F.filter(F.transform("base", lambda x: x["hash"]), lambda h: F.array_contains("live", h))))
-    return out.select("row", "doc_id", "base", added.alias("added"), "live", live_base.cast("long").alias("n_live"), (n - live_base).cast("long").alias("n_examples"))
+    return out.select("row", "doc_id", "fingerprint", "base", added.alias("added"), "live", live_base.cast("long").alias("n_live"), (n - live_base).cast("long").alias("n_examples"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
