@@ -9,19 +9,26 @@ from mmspark.llm._spark import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the edges (columns a, b).
 
-    Each round hooks every node to its smallest neighbour, halves the paths
-    twice and contracts the edges, so the number of nodes at least halves; the
-    smallest node of a component always keeps its own label.
+    Each round hooks every node to its smallest neighbour, follows these
+    pointers to their ends (doubling the reach each time) and contracts the
+    edges, so the number of nodes at least halves; the smallest node of a
+    component always keeps its own label.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = None
     while not edges.isEmpty():
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = cut(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")))
-        hop = up.select(F.col("node").alias("up"), F.col("up").alias("next"))
-        up = up.join(hop, "up").select("node", F.col("next").alias("up"))
-        up = cut(up.join(hop, "up").select("node", F.col("next").alias("up")))
-        found = up if found is None else found.withColumnRenamed("up", "was").join(up.select(F.col("node").alias("was"), F.col("up").alias("now")), "was", "left").select("node", F.coalesce("now", "was").alias("up"))
+        while True:
+            hop = cut(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", "up", "next"))
+            up = hop.select("node", F.col("next").alias("up"))
+            if hop.where("next <> up").isEmpty():
+                break
+        if found is None:
+            found = up
+        else:
+            moved = up.select(F.col("node").alias("was"), F.col("up").alias("now"))
+            found = cut(found.withColumnRenamed("up", "was").join(moved, "was", "left").select("node", F.coalesce("now", "was").alias("up")))
         left = up.select(F.col("node").alias("a"), F.col("up").alias("x"))
         right = up.select(F.col("node").alias("b"), F.col("up").alias("y"))
         edges = cut(edges.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
