@@ -42,9 +42,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id; of repeated rows one, and rows without an id all."""
+    """One document of each group of near copies stays: the one with the smallest id. Rows that repeat its id stay with it, and rows without an id all stay."""
     first = ngram_join(docs, Settings()).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
     return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from pathlib import Path
 
@@ -22,10 +23,19 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and drop the lineage."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Materialise in the shared checkpoint folder and drop the lineage.
+
+    free: also let Spark's cleaner see at once which shuffle files no plan can
+    read any more; else they stay until the driver's next full collection.
+    """
+    spark = ready(df.sparkSession)
+    done = df.checkpoint(eager=True)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -106,7 +106,7 @@ def test_pipeline_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     found = sorted(map(tuple, corpus_pipeline.secrets(spark, docs, SF).select("doc_id", "text").collect()), key=str)
     assert found == sorted([(1, "the water [SECRET] is here"), (1, "the water [SECRET] is here"), (None, "no id [SECRET]"), (3, None)], key=str)
-    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_copies(spark, docs, SF).collect()) == ["1", "3", "None"]
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_copies(spark, docs, SF).collect()) == ["1", "1", "3", "None"]
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), SF).collect() == []
 
