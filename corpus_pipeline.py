@@ -9,7 +9,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mmspark.llm._spark import ready, table
+from mmspark.llm._spark import cut, ready, table
 from mmspark.llm.langid import fit, held_out, predict
 from mmspark.llm.line_dedup import line_dedup
 from mmspark.llm.ngram_join import Settings, ngram_join
@@ -43,7 +43,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id. Rows that repeat its id stay with it, and rows without an id all stay."""
-    first = ngram_join(docs, Settings()).where("doc_id = component_id").select("doc_id").distinct()
+    first = cut(ngram_join(docs, Settings()).where("doc_id = component_id").select("doc_id").distinct(), free_now=True)  # so the texts move when the join's files are gone
     kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
     return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 

@@ -23,18 +23,19 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
-    """Materialise in the shared checkpoint folder and drop the lineage.
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner see at once which shuffle files and checkpoints no plan can read any more; else they stay until the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    free: also let Spark's cleaner see at once which shuffle files no plan can
-    read any more; else they stay until the driver's next full collection.
-    """
+
+def cut(df: DataFrame, free_now: bool = False) -> DataFrame:
+    """Materialise in the shared checkpoint folder and drop the lineage; free_now: and free what only that lineage could read."""
     spark = ready(df.sparkSession)
     done = df.checkpoint(eager=True)
-    if free:
+    if free_now:
         del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        free(spark)
     return done
 
 
