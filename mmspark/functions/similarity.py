@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +85,43 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def jaccard_with_items(docs: DataFrame, items: list[tuple], rows: int = 1 << 16) -> DataFrame:
+    """(doc_id, item_id, jaccard) of every document of (doc_id, text) with every item of (id, tokens): null for a null text or item, 1 for two empty sets.
+
+    The items are a query set that each worker holds; a document's tokens are
+    looked up once and summed for all items, and pairs leave in batches of about
+    `rows`.
+    """
+    sets = [None if t is None else set(t) for _, t in items]
+    word = {t: i for i, t in enumerate(sorted(set().union(*(s or () for s in sets))))}
+    entries = np.array([(word[t], j) for j, s in enumerate(sets) for t in s or ()], np.int64).reshape(-1, 2)
+    entries = entries[np.argsort(entries[:, 0], kind="stable")]
+    begin, holder = np.searchsorted(entries[:, 0], np.arange(len(word) + 1)).tolist(), entries[:, 1]
+    size, missing = np.array([len(s or ()) for s in sets], np.int64), np.array([s is None for s in sets], bool)
+    ids = pa.array([i for i, _ in items], pa.int64())
+    block = max(1, rows // max(1, len(items)))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows if items else 0, block):
+                batch = whole.slice(at, block)
+                values, empty = np.zeros((batch.num_rows, len(items))), np.zeros((batch.num_rows, len(items)), bool)
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    if text is None:
+                        empty[k] = True
+                        continue
+                    own = set(_SPACE.findall(text))
+                    found = [holder[begin[w] : begin[w + 1]] for w in map(word.get, own) if w is not None]
+                    shared = np.bincount(np.concatenate(found), minlength=len(items)) if found else np.zeros(len(items), np.int64)
+                    union = len(own) + size - shared
+                    values[k] = np.where(union == 0, 1.0, shared / np.maximum(union, 1))
+                    empty[k] = missing
+                pair = [batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(items)))), pa.concat_arrays([ids] * batch.num_rows), pa.array(values.ravel(), mask=empty.ravel())]
+                yield pa.RecordBatch.from_arrays(pair, ["doc_id", "item_id", "jaccard"])
+
+    return docs.select(docs.columns[0], docs.columns[1]).mapInArrow(run, "doc_id long, item_id long, jaccard double")
+
+
 def similarity_join(df: DataFrame, key: str, signature: str, threshold: float, k: int) -> DataFrame:
     """(id1, id2, similarity) of the pairs whose estimate reaches the threshold (> 0), id1 < id2.
 

@@ -113,7 +113,7 @@ def minhash_native8(spark, sf_dir):
 
 
 def _both(spark, sf_dir):
-    """Every document of a source against every item of that number: (doc_id, item_id) equi-joined by a language tag."""
+    """Each document with one item, doc_id modulo the number of items, as the SQL has it; the queries named all_pairs take every pair."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("btext"))
     items = b.agg(F.count("*")).first()[0] or 1
@@ -148,6 +148,35 @@ def jaccard_exact(spark, sf_dir):
     return _both(spark, sf_dir).select("doc_id", "item_id", F.round(S.jaccard(tokenize(F.col("text")), tokenize(F.col("btext"))), 9).alias("jaccard"))
 
 
+def _items_signed(spark, sf_dir):
+    """Signatures of every document, and of every item of the benchmark, which is a query set of stated size and is broadcast."""
+    d = S.minhash(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", K, "s1").select("doc_id", "s1").where(F.element_at("s1", 1) != -1)
+    b = S.minhash(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", K, "s2").select("item_id", "s2").where(F.element_at("s2", 1) != -1)
+    same = sum((F.col("s1")[i] == F.col("s2")[i]).cast("int") for i in range(K))
+    return d.crossJoin(F.broadcast(b)).select("doc_id", "item_id", (same / F.lit(K)).alias("estimate"))
+
+
+def _all_sql(tail: str) -> str:
+    return _match_sql(tail).replace(_PAIRS, "p AS (SELECT doc_id, item_id FROM documents CROSS JOIN benchmark)")
+
+
+@query(_all_sql("SELECT doc_id, item_id, e::DOUBLE AS estimate FROM m"))
+def minhash_estimate_all_pairs(spark, sf_dir):
+    return _items_signed(spark, sf_dir)
+
+
+@query(_all_sql("SELECT e >= 0.125 AS matched, count(*) AS pairs FROM m GROUP BY ALL"))
+def minhash_match_all_pairs(spark, sf_dir):
+    return _items_signed(spark, sf_dir).groupBy((F.col("estimate") >= 0.125).alias("matched")).agg(F.count("*").alias("pairs"))
+
+
+@query(f"WITH k AS (SELECT doc_id, item_id, list_distinct({_WS.replace('text', 'd.text')}) AS a, list_distinct({_WS.replace('text', 'b.text')}) AS b FROM documents d CROSS JOIN benchmark b) SELECT doc_id, item_id, CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) END AS jaccard FROM k")
+def jaccard_exact_all_pairs(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", tokenize(F.col("text")).alias("t")).collect()
+    pairs = S.jaccard_with_items(table(spark, sf_dir, "documents").select("doc_id", "text"), [(r.item_id, r.t) for r in items])
+    return pairs.select("doc_id", "item_id", F.round("jaccard", 9).alias("jaccard"))
+
+
 @query(f"WITH {_signature_sql('documents', 'doc_id')} SELECT x.doc_id AS id1, y.doc_id AS id2, count(*) / {K}.0::DOUBLE AS similarity FROM sig x JOIN sig y ON x.slot = y.slot AND x.v = y.v AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 0.75 * {K}")
 def similarity_join(spark, sf_dir):
     s = S.minhash(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", K)
