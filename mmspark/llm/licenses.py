@@ -5,14 +5,20 @@ letter) in ASCII lower case.  Whole texts, paragraphs, lines and sentences are
 units; a unit is compared with a template as sets of word bigrams.  Dice >= d
 needs a unit of m*d/(2-d) to m*(2-d)/d bigrams for a template of m, so sizes
 prune the templates, and a unit without enough bigrams of any template is never
-built.  One narrow pass, no shuffle; the templates are a fixed parameter.
+built.  A licence of several paragraphs, or whose lines were broken anew, is
+found as a run of neighbouring lines and sentences: for each template that
+shares enough bigrams with a document, the run with the highest Dice, then the
+next that does not overlap it.  Long full texts are sought as runs only.  One
+narrow pass, no shuffle; the templates are a fixed parameter.
 
 Edge cases: null and empty texts have no match; the best template of a unit
 wins, the first by name on a tie; spans that several kinds of unit share count
-once; repeated rows and null ids give a row each; other columns are ignored; an
+once; a run is left out where matches with no less Dice cover half of it; repeated rows and null ids give a row each; other columns are ignored; an
 empty table gives an empty result.
 """
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +50,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+#: Full public texts, too long for units.
+FULL_TEXTS: tuple[tuple[str, str], ...] = tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _LETTER = np.zeros(256, bool)
@@ -73,7 +82,7 @@ def template_sets(templates) -> list[tuple[str, np.ndarray]]:
 
 
 def _units(data: np.ndarray, off: np.ndarray, starts: np.ndarray, first: np.ndarray):
-    """(first word, end word) of every text, paragraph, line and sentence with at least two words."""
+    """(first word, end word) of every text, paragraph, line and sentence with at least two words, and the first words of all lines and sentences with the end."""
     n = len(data)
     newline = data == 10
     stop = np.zeros(n, bool)
@@ -89,16 +98,87 @@ def _units(data: np.ndarray, off: np.ndarray, starts: np.ndarray, first: np.ndar
         at = np.unique(np.searchsorted(starts, np.unique(e)))
         spans.append(np.column_stack([at[:-1], at[1:]]))
     spans = np.concatenate(spans)
-    return np.unique(spans[spans[:, 1] - spans[:, 0] >= 2], axis=0)
-
-
-def license_scan(docs: DataFrame, templates=TEMPLATES, dice: float = 0.8) -> DataFrame:
+    return np.unique(spans[spans[:, 1] - spans[:, 0] >= 2], axis=0), at
+
+
+def _runs(grams: np.ndarray, edges: np.ndarray, mine: np.ndarray, dice: float) -> list[tuple[float, int, int]]:
+    """(Dice, first word, end word) of the best runs of neighbouring pieces between edges that reach the Dice and do not overlap.
+
+    Shared and distinct bigrams are kept for every first piece while the end
+    moves on; a bigram counts for the starts behind its last occurrence.  A start
+    with more distinct bigrams than any match can have never comes back.
+    """
+    m, most = len(mine), len(mine) * (2 - dice) / dice + 1e-9
+    order = np.argsort(grams, kind="stable")
+    same = grams[order[1:]] == grams[order[:-1]]
+    before = np.full(len(grams), -1)
+    before[order[1:][same]] = order[:-1][same]
+    place = np.arange(len(grams))
+    lo, hi = np.searchsorted(edges, before, "right"), np.searchsorted(edges, place, "right")
+    hit = np.isin(grams, mine)
+    shared, distinct, n, live, at, found = np.zeros(len(edges), np.int64), np.zeros(len(edges), np.int64), len(edges) - 1, 0, 0, []
+    for j in range(1, n + 1):
+        end = edges[j] - 1
+        a, b = np.maximum(lo[at:end], live) - live, np.maximum(hi[at:end], live) - live
+        w, size = hit[at:end], j - live + 1
+        distinct[live : j + 1] += np.cumsum(np.bincount(a, minlength=size)[:size] - np.bincount(b, minlength=size)[:size])
+        if w.any():
+            shared[live : j + 1] += np.cumsum(np.bincount(a[w], minlength=size)[:size] - np.bincount(b[w], minlength=size)[:size])
+            score = 2 * shared[live:j] / (distinct[live:j] + m)
+            k = len(score) - 1 - int(np.argmax(score[::-1]))
+            if score[k] >= dice:
+                found.append((float(score[k]), int(edges[live + k]), int(edges[j])))
+        at = end
+        while live < j and distinct[live] > most:
+            live += 1
+    return _apart(found)
+
+
+def _apart(found: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """The best first, without those that overlap a better one."""
+    kept: list[tuple[float, int, int]] = []
+    for d, a, b in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+        if all(b <= y or a >= z for _, y, z in kept):
+            kept.append((d, a, b))
+    return kept
+
+
+def license_scan(docs: DataFrame, templates=TEMPLATES, dice: float = 0.8, full_texts=FULL_TEXTS) -> DataFrame:
     """One row a document: doc_id, matches (licence, first word, end word, Dice) by position."""
     ready(docs.sparkSession)
     sets = sorted(template_sets(templates), key=lambda x: x[0])
     known = np.unique(np.concatenate([x[1] for x in sets])) if sets else np.zeros(1, np.uint64)
     least = min((len(x[1]) for x in sets), default=1 << 60) * dice / (2 - dice)
     most = max((len(x[1]) for x in sets), default=0) * (2 - dice) / dice
+    every = sorted(sets + template_sets(full_texts), key=lambda x: x[0])
+    vocabulary = np.unique(np.concatenate([x[1] for x in every])) if every else np.zeros(1, np.uint64)
+    member = np.array([np.isin(vocabulary, x[1]) for x in every], np.int32).reshape(len(every), len(vocabulary)).T
+    need = np.array([len(x[1]) * dice / (2 - dice) - 1e-9 for x in every])
+
+    def shared(grams: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+        """(document, template) of those that share as many distinct bigrams as the Dice takes."""
+        at = np.minimum(np.searchsorted(vocabulary, grams), len(vocabulary) - 1)
+        hit = np.flatnonzero(vocabulary[at] == grams)
+        doc = np.searchsorted(first, hit, "right") - 1
+        inside = hit + 1 < first[doc + 1]
+        pairs = np.unique(doc[inside] * len(vocabulary) + at[hit[inside]])
+        if not len(pairs):
+            return []
+        docs, begin = np.unique(pairs // len(vocabulary), return_index=True)
+        enough = np.add.reduceat(member[pairs % len(vocabulary)], begin, axis=0) >= need
+        return [(int(docs[i]), int(t)) for i, t in np.argwhere(enough)]
+
+    def add_runs(found: list[list[dict]], grams: np.ndarray, first: np.ndarray, edges: np.ndarray) -> None:
+        runs: dict[int, list[tuple]] = {}
+        for d, t in shared(grams, first):
+            a, b = int(first[d]), int(first[d + 1])
+            mine = edges[np.searchsorted(edges, a) : np.searchsorted(edges, b, "right")] - a
+            runs.setdefault(d, []).extend((*x, every[t][0]) for x in _runs(grams[a : b - 1], mine, every[t][1], dice))
+        for d, have in runs.items():
+            for score, a, b, name in sorted(have, key=lambda x: (-x[0], x[3], x[1])):
+                if not any(m["dice"] >= score and 2 * (min(b, m["end"]) - max(a, m["start"])) >= b - a for m in found[d]):
+                    found[d].append({"license": name, "start": a, "end": b, "dice": score})
+            found[d].sort(key=lambda m: (m["start"], m["end"]))
 
     def best(unit: np.ndarray) -> tuple[float, str]:
         u, found = len(unit), (0.0, "")
@@ -117,7 +197,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, dice: float = 0.8) -> Dat
             if len(grams):
                 at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
                 hits = np.concatenate([[0], np.cumsum(known[at] == grams)])
-                units = _units(data, off, starts, first)
+                units, edges = _units(data, off, starts, first)
                 have = hits[units[:, 1] - 1] - hits[units[:, 0]]
                 count = units[:, 1] - units[:, 0] - 1
                 units = units[(have >= dice * (least + 1e-9) / 2) & (count >= least - 1e-9) & ((count <= most) | (have >= least * dice))]
@@ -126,6 +206,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, dice: float = 0.8) -> Dat
                     score, name = best(np.unique(grams[a : b - 1]))
                     if name:
                         found[d].append({"license": name, "start": a - int(first[d]), "end": b - int(first[d]), "dice": score})
+                add_runs(found, grams, first, edges)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("dice", pa.float64())])))], ["doc_id", "matches"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
