@@ -37,8 +37,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in too many documents of a source go; a document left without text goes."""
-    return _documents(line_dedup(docs.select(*COLUMNS), F.col("source")).where("n_lines > n_removed"))
+    """Lines that stand in too many documents and too many distinct texts of a source go; a document left without text goes."""
+    return _documents(line_dedup(docs.select(*COLUMNS), F.col("source"), count_copies=False).where("n_lines > n_removed"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

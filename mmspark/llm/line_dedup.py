@@ -2,7 +2,10 @@
 
 Pages are grouped by host.  A line's ratio is the number of the host's pages
 that contain it, divided by the host's pages; lines above ``max_ratio`` are
-boilerplate and go, on hosts with at least ``min_pages`` pages.
+boilerplate and go, on hosts with at least ``min_pages`` pages.  With
+``count_copies`` off, a line must also be above ``max_ratio`` of the host's
+distinct texts, and there must be ``min_pages`` of these, so copies of a page do
+not make its lines boilerplate, and no line goes that would not go otherwise.
 
 Plan: each page sends its distinct lines as 16-byte digests; they are counted
 by (host, line) with a map-side combine, so a line on every page of a hot host
@@ -43,16 +46,25 @@ def _trim(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def line_dedup(pages: DataFrame, key: Column, text: str = "text", max_ratio: float = 0.3, min_pages: int = 5, salts: int = 64) -> DataFrame:
+def line_dedup(pages: DataFrame, key: Column, text: str = "text", max_ratio: float = 0.3, min_pages: int = 5, salts: int = 64, count_copies: bool = True) -> DataFrame:
     """The input with the column `text` rid of its host's boilerplate lines, and n_lines, n_removed (lines that are not empty)."""
     ready(pages.sparkSession)
     names = [c for c in pages.columns if c.lower() not in ("n_lines", "n_removed")]
     lines = F.split(F.col(text), "\n", -1)
     digests = F.array_distinct(F.transform(F.filter(lines, lambda x: _trim(x) != ""), lambda x: _digest(_trim(x))))
     keyed = pages.select(*names).withColumn("__host", key)
-    hosts = keyed.groupBy("__host").agg(F.count("*").alias("__pages")).where(F.col("__pages") >= min_pages)
-    held = keyed.select("__host", F.explode(digests).alias("line")).groupBy("__host", "line").agg(F.count("*").alias("n"))
-    common = held.join(hosts, held["__host"].eqNullSafe(hosts["__host"])).where(F.col("n") > max_ratio * F.col("__pages"))
+    lines_of = keyed.select("__host", F.explode(digests).alias("line"))
+    if count_copies:
+        hosts = keyed.groupBy("__host").agg(F.count("*").alias("__pages")).where(F.col("__pages") >= min_pages)
+        held = lines_of.groupBy("__host", "line").agg(F.count("*").alias("n"))
+        often = F.col("n") > max_ratio * F.col("__pages")
+    else:
+        whole = _digest(F.col(text)).alias("whole")
+        hosts = keyed.select("__host", whole).groupBy("__host", "whole").agg(F.count("*").alias("n")).groupBy("__host").agg(F.sum("n").alias("__pages"), F.count("*").alias("__texts")).where(F.col("__texts") >= min_pages)
+        lines_of = keyed.select("__host", whole, F.explode(digests).alias("line"))
+        held = lines_of.groupBy("__host", "line", "whole").agg(F.count("*").alias("k")).groupBy("__host", "line").agg(F.sum("k").alias("n"), F.count("*").alias("texts"))
+        often = (F.col("n") > max_ratio * F.col("__pages")) & (F.col("texts") > max_ratio * F.col("__texts"))
+    common = held.join(hosts, held["__host"].eqNullSafe(hosts["__host"])).where(often)
     common = common.groupBy(held["__host"]).agg(F.collect_list("line").alias("__common"))
     side = common.select(F.col("__host").alias("__h"), "__common", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__s"))
     salted = keyed.withColumn("__salt", F.pmod(F.xxhash64(F.col(text)), F.lit(salts)).cast("int"))
