@@ -4,8 +4,10 @@ Base spans come from three patterns (assign, access, hex).  Each base value,
 and each other long run of credential letters that mixes letters and digits,
 is a candidate, known by its hash.  Candidates are counted over the corpus by
 distinct repositories and owners: a value held by more than ``max_owners``
-owners or ``max_repositories`` repositories is a widely copied example, any
-other is specific to its owner and looks live.  The method adds the spans of
+owners is a widely copied example, any other is specific to its owner and looks
+live, however many of the owner's repositories hold it.  Without a known owner
+(null or empty) repositories stand for owners: a value that more than
+``max_repositories`` of those hold is an example too.  The method adds the spans of
 live candidates that no base span overlaps, as kind ``bare``.
 
 Plan: one pass over the texts finds the spans; only spans are kept (in the
@@ -86,7 +88,7 @@ def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_i
     held = found.where(F.size(both) > 0).select("row", "owner", "repository", F.explode(F.array_distinct(F.transform(both, lambda x: x["hash"]))).alias("hash"))
     by_repository = held.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
     by_owner = by_repository.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-    counts = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    counts = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum(F.when(F.col("owner") == "", F.col("repositories")).otherwise(0)).alias("repositories"))
     live = counts.where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("hash")
     mine = held.join(live, "hash").groupBy("row").agg(F.collect_list("hash").alias("live"))
     out = found.join(mine, "row", "left").withColumn("live", F.coalesce("live", F.array().cast("array<long>")))
