@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import sys
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -141,13 +142,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, from one prefix polynomial over the bytes."""
-    n = len(data)
-    acc = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + U(1)) * powers(_BASE, n), out=acc[1:])
-    h = (acc[ends] - acc[starts]) * powers(pow(_BASE, -1, 2**64), n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * U(0xA0761D6478BD642F))
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)  # the first k bytes of eight
+_LONG = 4096
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """Keyed 64-bit hash of each word, eight bytes a step: a bijection for words of at most eight bytes of one length."""
+    size = ends - starts
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(size.astype(np.uint64) * U(0xA0761D6478BD642F) + U(key & 2**64 - 1))
+    live, at = np.flatnonzero(size <= _LONG), 0
+    while len(live):
+        part = eight[starts[live] + at] & _BYTES[np.minimum(size[live] - at, 8)]
+        h[live] = mix(h[live] * U(_WINDOW_BASE) + part)
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def word_codes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each word, equal for equal words only, first word of each document)."""
+    found, first = parts(data, off, plain=True)
+    return (found.dictionary_encode().indices.to_numpy().astype(np.int64) if len(found) else np.zeros(0, np.int64)), first
+
+
+def gram_codes(codes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each n-gram, equal for equal ones only, document); a document of fewer words is one gram.
+
+    Numbers of runs of words are the ranks of pairs of shorter runs, so nothing is hashed.
+    """
+    n, have, run = len(codes), 1, codes
+    while have < size and len(run):
+        step = min(have, size - have)
+        a, b = run[: max(0, len(run) - step)], run[step:]
+        run = np.unique(a * (int(run.max()) + 1) + b, return_inverse=True)[1] if len(a) else a
+        have += step
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.flatnonzero(doc[size - 1 :] == doc[: max(0, n - size + 1)]) if n >= size else np.zeros(0, np.int64)
+    short: dict[tuple, int] = {}
+    few = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < size))
+    whole = [-1 - short.setdefault(tuple(codes[first[i] : first[i + 1]].tolist()), len(short)) for i in few.tolist()]
+    return np.concatenate([run[at], np.array(whole, np.int64)]), np.concatenate([doc[at], few])
+
+
+def single_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray, np.ndarray]:
+    """(the words with one blank between them, their starts and ends there); a document's last word may have no blank behind it."""
+    keep = ~_WS[data]
+    behind = ends[ends < len(data)]
+    keep[behind] = True
+    place = np.cumsum(keep)
+    out = np.where(_WS[data], np.uint8(32), data)[keep].tobytes()
+    return memoryview(out), place[starts] - 1, place[ends - 1]
 
 
 def window_hashes(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
