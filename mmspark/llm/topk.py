@@ -10,18 +10,23 @@ downward.  What the dropped bits can add is bounded, so every row whose coarse
 score comes within that bound of the k-th is a boundary row, and those few are
 resolved with exact integer products.  Ties go to the smaller id.
 
-Plan: the stated queries meet all rows block by block; a task holds one block
-of candidates and one of queries, and returns k rows a query.  A last window
-over k rows a block merges the blocks.
-
-Edge cases: null or empty vectors, and those with a null, non-finite or huge
-(from 65536) component take no part; a query meets the vectors of its own
-length only, and never a row with its own id; rows that repeat an id count
-once (of different vectors with one id, the smallest); a null id is neither
+Plan: rows are dealt to blocks of candidates by a hash, and the stated queries
+are copied to every block, thousands to a task; a task returns k rows a query.
+Candidates are copied only once for each `queries_a_task` queries.  A last window over
+k rows a block merges the blocks.
+
+Edge cases: null or empty vectors, and those with a null or non-finite component
+take no part; components of any finite size are scored exactly (rows with
+one from 2**22 / scale on in Python integers, and a score outside the range of a long
+is given as the nearest long, though ordered as it is); a query meets the vectors
+of its own length only, and every row but its own: of rows with its id and vector one is
+its own; rows that repeat a query's id are queries of their own; a null id is neither
 query nor candidate; fewer candidates than k give fewer rows; other columns are
 ignored; an empty table gives an empty result.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -130,44 +135,79 @@ class SlicedIndex:
         return found[order], scores[order]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = 1 << 16, queries_a_task: int = 64, keep_bits: int = 6) -> DataFrame:
+WIDE = 1 << 22
+
+
+def quantised(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) in integers: int64, or Python's where a component is WIDE."""
+    with np.errstate(over="ignore"):
+        y = np.floor(scale * x)
+    if not len(y) or np.abs(y).max() < WIDE:
+        return y.astype(np.int64)
+    exact = lambda v, w: int(w) if math.isfinite(w) else int(v) * scale  # noqa: E731 - so large a float is an integer
+    return np.array([[exact(v, w) for v, w in zip(a, b, strict=True)] for a, b in zip(x.tolist(), y.tolist(), strict=True)], object)
+
+
+class Block:
+    """One block of candidates: a sliced index of the plain rows, the wide ones beside it."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, scale: int, keep_bits: int):
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        with np.errstate(over="ignore"):
+            wide = (np.abs(np.floor(scale * vectors)) >= WIDE).any(1)
+        self.ids, self.wide_ids = ids[~wide], ids[wide]
+        self.values, self.wide = quantised(vectors[~wide], scale), quantised(vectors[wide], scale)
+        self.index = SlicedIndex(self.values, keep_bits) if len(self.ids) else None
+
+    def top(self, q: int, w: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(-score, id) of the k best rows for the query of id q and vector w, without one row equal to it."""
+        own = lambda ids, v: next((i for i in range(*np.searchsorted(ids, [q, q + 1])) if (v[i] == w).all()), -1)
+        plain = w.dtype != object
+        found: list[tuple[int, int]] = []
+        if self.index is not None and plain:
+            at, scores = self.index.top(w, self.ids, k, own(self.ids, self.values))
+            found += zip((-scores).tolist(), self.ids[at].tolist(), strict=True)
+        for ids, v in ((self.wide_ids, self.wide), *([] if plain else [(self.ids, self.values)])):
+            if len(ids):
+                scores = (v.astype(object) @ w.astype(object)).tolist()
+                mine = own(ids, v)
+                found += [(-x, i) for j, (x, i) in enumerate(zip(scores, ids.tolist(), strict=True)) if j != mine]
+        return sorted(found)[:k]
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = 1 << 13, queries_a_task: int = 1 << 12, keep_bits: int = 6) -> DataFrame:
     """query_id, rank, vec_id, score: the k best inner products of floor(scale * component) for each query row."""
     ready(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = rows.where(F.col("vec_id").isNotNull() & finite("embedding")).where("forall(embedding, x -> abs(x) < 65536)")
-    rows = rows.select("vec_id", "q", F.size("embedding").alias("d"), F.transform("embedding", lambda x: F.floor(x * scale).cast("int")).alias("v"))
-    sizes = {r["d"]: (r["n"], r["m"]) for r in rows.groupBy("d").agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("m")).collect()}
-    n = max((x[0] for x in sizes.values()), default=0)
-    m = max((x[1] for x in sizes.values()), default=0)
-    blocks, chunks = max(1, -(-n // block)), max(1, -(-m // queries_a_task))
-    part = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
+    element = vectors.schema["embedding"].dataType.elementType
+    kind = "array<float>" if element.typeName() == "float" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = rows.where(F.col("vec_id").isNotNull() & finite("v")).select("vec_id", "q", F.size("v").alias("d"), "v", F.xxhash64("vec_id", "v").alias("h"))
+    sizes = rows.groupBy("d").agg(F.count("*").alias("n"), F.count_if("q").alias("m"))
+    most = sizes.agg(F.max("n").alias("n"), F.max("m").alias("m")).first()
+    blocks, chunks = max(1, -(-(most["n"] or 0) // block)), max(1, -(-(most["m"] or 0) // queries_a_task))
+    part = lambda count: F.pmod("h", F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    other = F.pmod(F.xxhash64("h"), F.lit(chunks)).cast("int")  # independent of the block
     left = rows.select("vec_id", "v", "d", part(blocks).alias("block"), every(chunks).alias("chunk"))
-    right = rows.where("q").select("vec_id", "v", "d", every(blocks).alias("block"), part(chunks).alias("chunk"))
-
-    def distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, v = table.column("vec_id").to_numpy(), matrix(table.column("v")).astype(np.int64)
-        if len(np.unique(ids)) < len(ids):
-            order = np.lexsort((*v.T[::-1], ids))
-            ids, v = ids[order], v[order]
-            new = np.append(True, ids[1:] != ids[:-1])
-            return ids[new], v[new]
-        order = np.argsort(ids)
-        return ids[order], v[order]
+    # equal query rows have equal answers: one is asked, and its rows come back as often as it is there
+    asked = rows.where("q").groupBy("vec_id", "h", "d", "v").agg(F.count("*").alias("copies"))
+    right = asked.select(F.col("vec_id").alias("query"), "h", "copies", F.col("v").alias("given"), F.col("d").alias("length"), every(blocks).alias("at"), other.alias("part"))
 
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[tuple] = []
         if candidates.num_rows and queries.num_rows:
-            ids, v = distinct(candidates)
-            index = SlicedIndex(v, keep_bits)
-            for q, w in zip(*distinct(queries), strict=True):
-                at = int(np.searchsorted(ids, q))
-                found, scores = index.top(w, ids, k, at if at < len(ids) and ids[at] == q else -1)
-                for o, x in zip(out, (np.full(len(found), q), ids[found], scores), strict=True):
-                    o.append(x)
-        return pa.table({c: pa.array(np.concatenate(x) if x else [], pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
-
-    keys = ["d", "block", "chunk"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            here = Block(candidates.column("vec_id").to_numpy(), matrix(candidates.column("v")), scale, keep_bits)
+            given = matrix(queries.column("given"))
+            for i, (q, h, copies) in enumerate(zip(*(queries.column(c).to_pylist() for c in ("query", "h", "copies")), strict=True)):
+                for least, vec in here.top(q, quantised(given[i : i + 1], scale)[0], k):
+                    out.append((q, h, copies, vec, -least))
+        clipped = [max(-(2**63), min(2**63 - 1, r[4])) for r in out]
+        cols = [pa.array([r[c] for r in out], pa.int64()) for c in range(4)]
+        return pa.table([*cols, pa.array(clipped, pa.int64()), pa.array([str(r[4]) if r[4] != s else None for r, s in zip(out, clipped, strict=True)], pa.string())], names=["query_id", "h", "copies", "vec_id", "score", "whole"])
+
+    best = left.groupBy("d", "block", "chunk").cogroup(right.groupBy("length", "at", "part")).applyInArrow(run, "query_id long, h long, copies long, vec_id long, score long, whole string")
+    size = F.length("whole") * F.sign("score")  # scores beyond a long: by digits, then as text, the other way round below zero
+    order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), F.desc(F.coalesce(size, F.lit(0.0))), F.desc(F.when(F.col("score") > 0, F.col("whole"))), F.when(F.col("score") < 0, F.col("whole")), "vec_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
