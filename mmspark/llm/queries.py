@@ -103,7 +103,7 @@ WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*:/
 l AS (SELECT page_id, host, string_split(text, chr(10)) AS ls FROM p),
 d AS (SELECT page_id, host, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''))) AS line FROM l),
 t AS (SELECT host, count(*) AS pages FROM l GROUP BY host),
-c AS (SELECT host, line FROM d JOIN t USING (host) WHERE pages >= 5 GROUP BY host, line, pages HAVING count(*) > 0.3 * pages),
+c AS (SELECT host, line FROM d JOIN t USING (host) GROUP BY host, line, pages HAVING count(*) >= 2 AND count(*) > 0.3 * pages),
 h AS (SELECT host, list(line) AS common FROM c GROUP BY host),
 k AS (SELECT page_id, l.host, ls, list_filter(ls, lambda x: trim(x, ' ' || chr(9) || chr(13)) = '' OR NOT list_contains(coalesce(common, []), trim(x, ' ' || chr(9) || chr(13)))) AS kept FROM l LEFT JOIN h ON l.host = h.host)
 SELECT page_id, host, len(list_filter(ls, lambda x: trim(x, ' ' || chr(9) || chr(13)) <> ''))::BIGINT AS n_lines, (len(ls) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k""",
