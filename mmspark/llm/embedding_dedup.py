@@ -17,8 +17,8 @@ number of tile pairs of a label grows with the square of its size.
 Edge cases: null labels, null or empty vectors, zero vectors and those with a
 null or non-finite component link with nothing and are their own component;
 vectors of different lengths never link; rows with one id and one vector are
-linked copies; a null id takes part but is never a component; other columns
-are ignored; an empty table gives an empty result.
+linked copies; a null id takes part but is never a component; ids below -2**62 are
+not supported; other columns are ignored; an empty table gives an empty result.
 """
 
 import numpy as np
@@ -28,7 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mmspark.llm._graph import components
-from mmspark.llm._spark import cut, ready
+from mmspark.llm._spark import Steps, join_spread
+
+
+NAMELESS = -(2**63)
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -76,13 +79,15 @@ def principal_axes(rows: np.ndarray) -> np.ndarray:
 
 def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, tile: int = 1024, sample: int = 20_000) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept."""
-    ready(vectors.sparkSession)
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label"))
+    steps = Steps(vectors.sparkSession)
+    # adding zero makes one zero of two, so that equal vectors have equal hashes
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 0.0).alias("embedding"), F.col("label"))
     ok = finite("embedding") & F.expr("exists(embedding, x -> x <> 0)") & F.col("label").isNotNull()
     vectors = vectors.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    classes = cut(vectors.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).select("*", F.size("embedding").alias("d"), F.monotonically_increasing_id().alias("row")))
-    # a class of null ids only still needs a name: negative, so it is told apart below
-    classes = classes.withColumn("id", F.coalesce("least", -1 - F.col("row"))).drop("row", "least")
+    vectors = vectors.withColumn("h", F.xxhash64("label", "embedding"))
+    classes = steps.keep(vectors.where("ok").groupBy("h", "label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).select("*", F.size("embedding").alias("d"), F.monotonically_increasing_id().alias("row")))
+    # a class of null ids only still needs a name: one below all real ids, so it is told apart below
+    classes = classes.withColumn("id", F.coalesce("least", F.lit(NAMELESS) + F.col("row"))).drop("row", "least")
     n = classes.count()
     axes = {}
     drawn = classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < min(1.0, sample / max(1, n)) * (1 << 30)).select("d", "embedding").toArrow()
@@ -122,15 +127,19 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.98, tile: int = 102
         some = np.flatnonzero(links)
         return pa.table({"a": pa.array([*ids[some].tolist(), *(int(e[0]) for e in edges)], pa.int64()), "b": pa.array([*[None] * len(some), *(int(e[1]) for e in edges)], pa.int64()), "links": pa.array([*links[some].tolist(), *[0] * len(edges)], pa.int64())})
 
-    found = cut(rows.groupBy("label", "d", "i", "j").applyInArrow(run, "a long, b long, links long"))
+    found = steps.keep(rows.groupBy("label", "d", "i", "j").applyInArrow(run, "a long, b long, links long"))
     linked = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    joined = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("id"), "component")
-    # a negative name is the smallest of its component: rename such components by their smallest real id
+    joined = components(found.where("b is not null").select("a", "b"), steps).select(F.col("node").alias("id"), "component")
     real = classes.select("id").join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    renamed = real.where("component < 0").groupBy("component").agg(F.min(F.when(F.col("id") >= 0, F.col("id"))).alias("real"))
-    real = real.join(renamed, "component", "left").select("id", F.when(F.col("component") < 0, F.col("real")).otherwise(F.col("component")).alias("component"))
-    named = classes.select("label", "embedding", "id", "copies").join(linked, "id", "left").join(real, "id", "left")
-    out = vectors.join(named.select("label", "embedding", "copies", "links", "component"), ["label", "embedding"], "left")
+    nameless = F.col("component") < NAMELESS // 2
+    if not real.where(nameless).isEmpty():
+        # such a name is the smallest of its component: rename the component by its smallest real id
+        real = steps.keep(real)
+        renamed = real.where(nameless).groupBy("component").agg(F.min(F.when(F.col("id") >= NAMELESS // 2, F.col("id"))).alias("real"))
+        real = join_spread(real, renamed, "component", "id", "left").select("id", F.when(nameless, F.col("real")).otherwise(F.col("component")).alias("component"))
+    named = steps.keep(classes.select("h", "label", "embedding", "id", "copies").join(linked, "id", "left").join(real, "id", "left").select("h", "label", "embedding", "copies", "links", "component"))
+    steps.drop(found)
+    out = join_spread(vectors, named, "h", "vec_id", "left", ["label", "embedding"])
     component = F.when(F.col("ok"), F.col("component")).otherwise(F.col("vec_id"))
     n_links = F.when(F.col("ok"), F.col("copies") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

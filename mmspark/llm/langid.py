@@ -14,19 +14,22 @@ once per worker (a bounded cache), so a text costs one dictionary encoding and
 one gather.
 
 Scale: fitting reads ``max_docs`` documents a language (expected number; they
-are chosen by a hash of the id, so no sort) and sends word counts of those to
-the driver; prediction is one narrow pass without a shuffle.
+are chosen by a hash of id and text, so no sort) and sends the ``max_words`` most frequent
+words of each language among those to the driver; prediction is one narrow pass
+without a shuffle.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; ties
 go to the language that sorts first; without labelled rows all texts are
-``und``; repeated rows and null ids give a row each; other columns are ignored.
+``und``; repeated rows and null ids give a row each, with answers of their own; a very
+long text is scored whole, by one task; other columns are ignored, or kept if asked
+for; an empty table gives an empty result.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mmspark.llm import _text as T
@@ -140,7 +143,7 @@ class Model:
 
 
 def train(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 2, pooled: float = 0.02) -> Model:
-    """Fit piece probabilities to word counts by language; words of _WHOLE letters or more take no part."""
+    """Fit piece probabilities to word counts by language; of words of _WHOLE letters or more, the consecutive parts."""
     languages = sorted(counts)
     acc = np.zeros(0, np.uint64)
     marks = [np.array([ord(c) for c in p], np.uint64) for p in pieces]
@@ -148,7 +151,7 @@ def train(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = 2,
     hashes = np.unique(T.mix(acc + np.array([len(p) for p in pieces], np.uint64)))
     model = Model(languages, hashes, np.full((len(hashes) + 1, len(languages)), 1 / max(1, len(hashes))))
     model.probs[-1] = _UNKNOWN
-    data = [[(w, c) for w, c in counts[x].items() if 0 < len(w) < _WHOLE] for x in languages]
+    data = [[(w[i : i + _WHOLE - 1], c) for w, c in counts[x].items() for i in range(0, len(w), _WHOLE - 1)] for x in languages]
     for _ in range(rounds):
         seen = np.zeros((len(hashes) + 1, len(languages)))
         for g, rows in enumerate(data):
@@ -189,17 +192,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string").where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
-def fit(labelled: DataFrame, vocabulary_path: str, max_docs: int = 300) -> Model:
-    """A model from about max_docs documents of each language, chosen by a hash of the id."""
+def fit(labelled: DataFrame, vocabulary_path: str, max_docs: int = 300, max_words: int = 100_000) -> Model:
+    """A model from about max_docs documents of each language, chosen by a hash of id and text, and their max_words most frequent words."""
     ready(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros(0, np.uint64), np.zeros((1, 0)))
     share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, max_docs / n))))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     counts: dict[str, dict[str, int]] = {x: {} for x in sizes}
-    rows = word_counts(sample).toArrow()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    rows = word_counts(sample).withColumn("place", first).where(F.col("place") <= max_words).drop("place").toArrow()
     for lang, word, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
         counts[lang][word] = n
     return train(counts, vocabulary(vocabulary_path))
@@ -245,18 +249,21 @@ class _Scorer:
         return np.column_stack([np.bincount(doc, values[codes, g], len(off) - 1) for g in range(values.shape[1])])
 
 
-def predict(docs: DataFrame, model: Model, sharpness: float = 60.0) -> DataFrame:
-    """One row a document: doc_id, lang_pred, score.  score: the posterior of lang_pred, as of at most `sharpness` letters at the text's mean evidence a letter."""
+def predict(docs: DataFrame, model: Model, sharpness: float = 60.0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row a document: the columns to keep, lang_pred, score.  score: the posterior of lang_pred, as of at most `sharpness` letters at the text's mean evidence a letter."""
     ready(docs.sparkSession)
+    kept = docs.select(*(F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in keep), F.col("text").cast("string").alias("text"))
+    if "text" in keep:
+        kept = docs.select(*keep)
     if not model.languages:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return kept.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def run(batches):
         scorer = _Scorer(model)
         for rows, data, off in T.documents(batches):
             sums = scorer.documents(data, off)
             n = sums[:, -1]
-            ok = (n > 0) & (len(model.languages) > 0)
+            ok = n > 0
             lang = np.full(len(n), None, object)
             lang[:] = "und"
             score = np.zeros(len(n))
@@ -265,9 +272,9 @@ def predict(docs: DataFrame, model: Model, sharpness: float = 60.0) -> DataFrame
                 lang[ok] = np.array(model.languages, object)[ll.argmax(1)]
                 ll = (ll - ll.max(1, keepdims=True)) * np.minimum(1, sharpness / n[ok])[:, None]
                 score[ok] = 1 / np.exp(ll).sum(1)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return kept.mapInArrow(run, kept.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -10,10 +10,10 @@ live, however many of the owner's repositories hold it.  Without a known owner
 ``max_repositories`` of those hold is an example too.  The method adds the spans of
 live candidates that no base span overlaps, as kind ``bare``.
 
-Plan: one pass over the texts finds the spans; only spans are kept (in the
-checkpoint folder) and counted.  Counts are taken by (hash, owner) first, so a
+Plan: one pass over the texts finds the spans; only spans are kept (written to the
+shared folder) and counted.  Counts are taken by (hash, owner) first, so a
 value copied all over the corpus is summed before it meets in one task; the
-flags come back by a join that Spark splits where a hash is hot.
+flags come back by a join that deals a hot hash to several tasks.
 
 Edge cases: a null text is empty; a null owner is the empty owner and a null
 repository the empty one; repeated rows are rows of their own, of one
@@ -25,7 +25,7 @@ empty table gives an empty result.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mmspark.llm._spark import cut, ready
+from mmspark.llm._spark import Steps, join_spread
 
 KINDS = ("assign", "access", "hex", "bare")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -82,15 +82,15 @@ def find(docs: DataFrame, owner: str, repository: str) -> DataFrame:
 
 def secret_scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = 2, max_repositories: int = 100) -> DataFrame:
     """One row a document: row, doc_id, fingerprint, base (spans), added (spans), live (the hashes of its live-looking values), n_live, n_examples."""
-    ready(docs.sparkSession)
-    found = cut(find(docs, owner, repository))
+    steps = Steps(docs.sparkSession)
+    found = steps.keep(find(docs, owner, repository))
     both = F.concat("base", "other")
-    held = found.where(F.size(both) > 0).select("row", "owner", "repository", F.explode(F.array_distinct(F.transform(both, lambda x: x["hash"]))).alias("hash"))
+    held = steps.keep(found.where(F.size(both) > 0).select("row", "owner", "repository", F.explode(F.array_distinct(F.transform(both, lambda x: x["hash"]))).alias("hash")))
     by_repository = held.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
     by_owner = by_repository.groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
     counts = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum(F.when(F.col("owner") == "", F.col("repositories")).otherwise(0)).alias("repositories"))
     live = counts.where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("hash")
-    mine = held.join(live, "hash").groupBy("row").agg(F.collect_list("hash").alias("live"))
+    mine = join_spread(held.select("row", "hash"), live, "hash", "row").groupBy("row").agg(F.collect_list("hash").alias("live"))
     out = found.join(mine, "row", "left").withColumn("live", F.coalesce("live", F.array().cast("array<long>")))
     added = F.filter("other", lambda x: F.array_contains("live", x["hash"]))
     n = F.size(F.array_distinct(F.transform("base", lambda x: x["hash"])))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import brute
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from mmspark.llm import queries as Q  # noqa: E402
 from mmspark.llm.bpe import Codec, bpe_round_trip  # noqa: E402
-from mmspark.llm.langid import Model, fit, held_out, predict  # noqa: E402
+from mmspark.llm import _text as T  # noqa: E402
+from mmspark.llm.langid import Model, fit, held_out, predict, vocabulary, word_counts  # noqa: E402
 from mmspark.llm.licenses import TEMPLATES, license_scan  # noqa: E402
 from mmspark.llm.line_dedup import line_dedup  # noqa: E402
 from mmspark.llm.ngram_join import Settings, ngram_join  # noqa: E402
@@ -46,13 +48,38 @@ def corpus(seed=7):
     return out + [(5000, None), (5001, ""), (5002, " \n\t "), (5003, "Ünï " * 30), (5004, "x" * 70_000)]
 
 
-@pytest.mark.parametrize(("words", "percent", "rare"), [(3, 90, 32), (5, 80, 32), (2, 80, 3), (3, 90, 4)])
+@pytest.mark.parametrize(("words", "percent", "rare"), [(3, 90, 32), (5, 80, 32), (2, 80, 3), (3, 90, 4), (3, 50, 6), (2, 20, 4), (1, 50, 8), (2, 100, 4)])
 def test_ngram_join(spark, words, percent, rare):
     rows = corpus()
     found = ngram_join(table(spark, [(i, t, None, None) for i, t in rows]), Settings(words, percent, rare=rare, block_docs=20)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.join(rows, words, percent)
 
 
+def test_ngram_join_small_sets(spark):
+    rows = [(i, f"a x{i} y{i}") for i in range(40)] + [(100 + i, f"b{i % 7}") for i in range(30)] + [(200, "a"), (201, "a b"), (202, "a a"), (203, "b a b a")]
+    for words, percent in ((1, 20), (1, 50), (2, 34), (1, 90)):
+        found = ngram_join(table(spark, [(i, t, None, None) for i, t in rows]), Settings(words, percent, rare=4, block_docs=9)).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.join(rows, words, percent), (words, percent)
+    for bad in ({"percent": 0}, {"percent": 101}, {"words": 0}):
+        with pytest.raises(ValueError):
+            Settings(**bad)
+
+
+def morse(n):
+    """A two-letter sequence and its complement: equal under every polynomial modulo 2**64 with an odd base."""
+    s = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return s, s.translate({97: 98, 98: 97})
+
+
+def test_known_collisions(spark):
+    one, two = morse(1024)
+    head = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{head} {one}"), (2, f"{head} {two}"), (3, f"{head} {one}"), (4, one), (5, two)]
+    found = {r.doc_id: r.n_removed for r in substring_dedup(table(spark, [(i, t, None, None) for i, t in rows])).collect()}
+    assert found == {1: 0, 2: 0, 3: 13, 4: 0, 5: 0}
+    assert {r.doc_id: r.component_id for r in ngram_join(table(spark, [(i, t, None, None) for i, t in rows]), Settings(3, 90)).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
 def test_ngram_join_edges(spark):
     assert ngram_join(table(spark, []), Settings()).collect() == []
     text = "one two three four five six seven"
@@ -105,13 +132,19 @@ def test_redact(spark):
     assert spark.range(1).select(redact(F.lit("éà23456789"), spans, "#").alias("x")).first().x == "éà#7#9"
 
 
-def test_line_dedup(spark):
+def test_line_dedup(spark, monkeypatch):
     rnd = random.Random(1)
-    rows = [(rnd.choice(["a", "a", "b", "c", None]), "\n".join(rnd.choice(["Home", " Home\t", "", f"body {i}", f"other {i % 7}"]) for _ in range(rnd.randint(0, 6)))) for i in range(80)]
-    rows += [("a", None), ("a", "")]
-    df = spark.createDataFrame([(i, h, t, 0) for i, (h, t) in enumerate(rows)], "i long, host string, text string, n_lines long").repartition(3)
-    found = {r.i: r.text for r in line_dedup(df, F.col("host")).collect()}
-    assert [found[i] for i in range(len(rows))] == brute.lines(rows, 0.3, 5)
+    rows = [(rnd.choice(["a", "a", "b", "c", None, "", "d"]), "\n".join(rnd.choice(["Home", " Home\t", "", f"body {i}", f"other {i % 7}"]) for _ in range(rnd.randint(0, 6)))) for i in range(80)]
+    rows += [("a", None), ("a", ""), ("one", "only\npage"), ("two", "x\ny"), ("two", "x\nz"), ("six", "p\nq"), ("six", "p\nq"), ("six", "r"), ("six", "s")]
+    df = spark.createDataFrame([(i, h, t, 0, 1, 2, 3, 4) for i, (h, t) in enumerate(rows)], "i long, host string, text string, n_lines long, __h int, site string, `a.b` int, common int").repartition(3)
+    for limit in (8 << 20, -1):  # the second: the join of salted hosts
+        monkeypatch.setattr("mmspark.llm._spark.SMALL_BYTES", limit)
+        for repeats, copies in ((2, True), (1, True), (2, False)):
+            found = line_dedup(df, F.col("host"), repeats=repeats, count_copies=copies)
+            assert found.columns == ["i", "host", "text", "__h", "site", "a.b", "common", "n_lines", "n_removed"]
+            got = {r.i: r for r in found.collect()}
+            assert [got[i].text for i in range(len(rows))] == brute.lines(rows, 0.3, repeats, copies)
+            assert all(r["a.b"] == 3 and r.common == 4 and r["__h"] == 1 and 0 <= r.n_removed <= r.n_lines for r in got.values())
     assert line_dedup(df.limit(0), F.col("host")).collect() == []
 
 
@@ -126,6 +159,25 @@ def test_license_scan(spark):
     assert max(m.dice for m in exact) == 1.0
 
 
+def test_license_dice_by_brute_force(spark):
+    """Every reported Dice is that of its words; every text that reaches the threshold as a whole is found."""
+    rnd = random.Random(9)
+    rows = []
+    for k, (_, text) in enumerate(TEMPLATES):
+        words = text.split()
+        for j in range(4):  # some words replaced, from none to most
+            rows.append((10 * k + j, " ".join(rnd.choice(["xx", "yy"]) if rnd.random() < 0.07 * j * j else w for w in words)))
+    rows += [(9001, TEMPLATES[0][1] + " " + TEMPLATES[0][1]), (9002, None)]
+    found = {r.doc_id: r.matches for r in license_scan(table(spark, [(i, t, None, None) for i, t in rows]), full_texts=()).collect()}
+    names = {name: text for name, text in TEMPLATES}
+    for i, t in rows:
+        words = re.findall("[0-9a-z]+", (t or "").lower())
+        for m in found[i]:
+            assert m.dice >= 0.8 and abs(m.dice - max(brute.dice(" ".join(words[m.start : m.end]), x) for n, x in TEMPLATES if n == m.license)) < 1e-9
+        best = max((brute.dice(t or "", x) for x in names.values()), default=0)
+        assert best < 0.8 or max((m.dice for m in found[i]), default=0) >= best - 1e-9, i
+
+
 def test_bpe_against_the_library(spark):
     c = Codec(BPE)
     rnd = random.Random(5)
@@ -169,8 +221,22 @@ def test_packing(spark):
             assert r.ids_crc32 == zlib.crc32(np.array(versions[0][at : at + r.length], "<u4").tobytes())
             at += r.length
         assert at == len(versions[0])
+    sizes = {q: next(iter(x))[2] for q, x in sequences.items()}
+    assert sum(sizes.values()) == sum(r.length for r in found)
+    groups = {}
+    for r in {(r.sequence_id, r.step_group, r.sequence_tokens) for r in found}:
+        groups.setdefault((r[0] >> 32, r[1]), []).append(r[2])
+    full = [sum(x) for x in groups.values()]
+    assert max(full) <= 1 << 16 and sum(x == 1 << 16 for x in full) >= len(full) - len({k[0] for k in groups})  # all but a bucket's last are equal
+    nameless = packed(table(spark, [(None, f"{i} beta" * 40, None, None) for i in range(200)]), BPE, bucket_bytes=2000).collect()
+    assert len({r.sequence_id >> 32 for r in nameless}) > 4 and sum(r.start == 0 for r in nameless) == 200
     assert packed(table(spark, []), BPE).collect() == []
     assert pack([]) == []
+    rnd = random.Random(6)
+    lengths = [rnd.choice((1, 40, 400, 511, 513, 1500, 3000, 5000)) for _ in range(300)]
+    done = pack(lengths)
+    assert all(sum(p[2] for p in pieces) == size and size & (size - 1) == 0 for size, pieces in done) and sum(size for size, _ in done) == sum(lengths)
+    assert sum(size == 4096 for size, _ in done) > 0.7 * sum(lengths) / 4096  # gaps of long windows are filled from shorter tiers
 
 
 def test_language_id(spark):
@@ -187,11 +253,32 @@ def test_language_id(spark):
     assert predict(table(spark, []), model).collect() == []
     nothing = fit(docs.limit(0), PIECES)
     assert nothing.languages == [] and {r.lang_pred for r in predict(docs, nothing).collect()} == {"und"}
-    for word in ("haus", "über"):  # the sum over all segmentations, by brute force
-        assert np.allclose(model.score([word])[0], model.long(word))
+    number = {h: i for i, h in enumerate(model.hashes.tolist())}
+    pieces = vocabulary(PIECES)
+    marks = [np.array([ord(c) for c in p], np.uint64) for p in pieces]
+    place = {p: number[int(T.mix(np.sum(m * T.powers(T._BASE, len(m)), dtype=np.uint64, keepdims=True) + np.uint64(len(p)))[0])] for p, m in zip(pieces, marks, strict=True)}
+    for word in ("haus", "über", "the", "maisonж", "q"):  # the sum over all segmentations, one by one
+        want = np.zeros(len(model.languages))
+        for cut in brute.segmentations("▁" + word):
+            rows_ = [place.get(p, len(model.hashes) if len(p) == 1 else None) for p in cut]
+            if None not in rows_:
+                want += np.prod(model.probs[rows_], axis=0)
+        assert np.allclose(model.score([word])[0], np.log(want)) and np.allclose(model.long(word), np.log(want))
     assert isinstance(model, Model)
 
 
+def test_language_fit_is_bounded(spark, monkeypatch):
+    rows = [(None, f"the house of number {i}", "en", "s") for i in range(900)] + [(7, f"das haus nummer {i}", "de", "s") for i in range(900)]
+    read = []
+    monkeypatch.setattr("mmspark.llm.langid.word_counts", lambda docs: read.append(docs.count()) or word_counts(docs))
+    fit(table(spark, rows), PIECES, max_docs=50)
+    assert 20 < read[0] < 250
+    long = fit(table(spark, [(1, "日本語" * 40, "ja", "s"), (2, "der hund " * 9, "de", "s")]), PIECES)
+    assert predict(table(spark, [(3, "日本語" * 30, None, None)]), long).first().lang_pred == "ja"
+    tied = fit(table(spark, [(1, "abc abd", "x", "s"), (2, "abc abd", "a", "s")]), PIECES)
+    assert predict(table(spark, [(3, "abc", None, None)]), tied).first().lang_pred == "a"
+
+
 def test_held_out_accuracy(spark):
     found = Q.op7_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang_pred == r.lang for r in found]) > 0.97
