@@ -19,8 +19,14 @@ _left: dict[str, SparkSession] = {}
 _local: list[str] = []
 
 
+#: Bytes of an Arrow batch between the JVM and Python; Spark's own bound lets each side hold 64 MB a task.
+ARROW_BYTES, _ARROW = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package."""
+    """Let Python workers import this package, and bound the bytes of Arrow batches unless the session has its own bound."""
+    if spark.conf.get(_ARROW) == "67108864b":
+        spark.conf.set(_ARROW, ARROW_BYTES)
     environment = spark.sparkContext.environment
     have = environment.get("PYTHONPATH", "")
     if ROOT not in have.split(":"):
@@ -103,9 +109,12 @@ def clear() -> None:
 atexit.register(clear)
 
 
-def often(df: DataFrame, key: str, rows: int, keys: int = 4096) -> list[tuple[int, int]]:
-    """(key, count) of the keys that more than `rows` rows hold: the `keys` most frequent at most, from sketches of fixed size."""
-    found = df.agg(F.expr(f"approx_top_k({key}, {keys}, {16 * keys})").alias("top")).first()["top"] or []
+def often(df: DataFrame, key: str, rows: int, keys: int = 1024) -> list[tuple[int, int]]:
+    """(key, count) of the keys that more than `rows` rows hold: the `keys` most frequent at most, from sketches of fixed size, one a task.
+
+    Keys that one row in about 2000 or more holds are surely found.
+    """
+    found = df.agg(F.expr(f"approx_top_k({key}, {keys}, {8 * keys})").alias("top")).first()["top"] or []
     return [(x["item"], x["count"]) for x in found if x["item"] is not None and x["count"] > rows]
 
 
@@ -114,16 +123,17 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
 
     The rows of a key that left holds often are dealt to salts by a hash of
     `spread`, and the rows of right go to all of its salts.  The list of such keys
-    has 4096 entries at most.  `counted`: a written table with left's keys.
+    has 1024 entries at most.  `counted`: a written table with left's keys.  It is a
+    merge join at every size.
     """
     hot = often(left if counted is None else counted, key, rows)
     if not hot:
-        return left.join(right, [key, *on], how)
+        return left.join(right.hint("merge"), [key, *on], how)
     kind = left.schema[key].dataType.simpleString()
     salts = F.broadcast(left.sparkSession.createDataFrame([(k, -(-n // rows)) for k, n in hot], f"{key} {kind}, __salts int"))
     dealt = left.join(salts, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")
     copied = right.join(salts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
-    return dealt.join(copied, [key, "__salt", *on], how).drop("__salt")
+    return dealt.join(copied.hint("merge"), [key, "__salt", *on], how).drop("__salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

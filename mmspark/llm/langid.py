@@ -212,7 +212,7 @@ def fit(labelled: DataFrame, vocabulary_path: str, max_docs: int = 300, max_word
 class _Scorer:
     """Scores slices of documents; keeps the scores of words."""
 
-    def __init__(self, model: Model, cache_words: int = 250_000):
+    def __init__(self, model: Model, cache_words: int = 120_000):
         self.model, self.cache_words = model, cache_words
         self.clear()
 
