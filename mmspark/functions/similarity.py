@@ -3,7 +3,6 @@
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +15,9 @@ EMPTY = -1
 _SPACE = re.compile("[^ \t\n\x0b\x0c\r]+")
 
 
-def _hash_tokens(tokens: list[str]) -> np.ndarray:
+def _hash_tokens(tokens: list[bytes]) -> np.ndarray:
     """FNV-1a 64 of each token, reduced modulo 2**61 - 1; a step for each byte position."""
-    raw = [t.encode() for t in tokens]
+    raw = tokens
     size = np.array([len(b) for b in raw])
     order = np.argsort(size, kind="stable")
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -31,17 +30,56 @@ def _hash_tokens(tokens: list[str]) -> np.ndarray:
     return x % np.uint64(MERSENNE)
 
 
-def _permuted_min(x: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """For each (a, b), the least (a * x + b) modulo 2**61 - 1."""
+def _permuted(x: np.ndarray, a: np.uint64, b: np.uint64) -> np.ndarray:
+    """(a * x + b) modulo 2**61 - 1."""
     p, m31, m30 = np.uint64(MERSENNE), np.uint64(2**31 - 1), np.uint64(2**30 - 1)
-    out = np.empty(len(seeds), np.int64)
     x1, x0 = x >> np.uint64(31), x & m31
-    for i, (a, b) in enumerate(seeds):
-        a1, a0 = a >> np.uint64(31), a & m31
-        mid = a1 * x0 + a0 * x1
-        y = (np.uint64(2) * a1 * x1 + (mid >> np.uint64(30)) + ((mid & m30) << np.uint64(31)) + a0 * x0) % p
-        out[i] = np.min((y + b) % p)
-    return out
+    a1, a0 = a >> np.uint64(31), a & m31
+    mid = a1 * x0 + a0 * x1
+    return ((np.uint64(2) * a1 * x1 + (mid >> np.uint64(30)) + ((mid & m30) << np.uint64(31)) + a0 * x0) % p + b) % p
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the tokens between white space of all texts, offsets of each text in them); those six blanks are ASCII, so bytes will do."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offs, data = texts.buffers()
+    off = np.frombuffer(offs, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
+    off = off - off[0]
+    solid = ~_BLANK[raw]
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
+    edges = off[off < len(raw)]
+    begin[edges] = solid[edges]
+    starts = np.flatnonzero(begin)
+    place = np.cumsum(solid)
+    cuts = np.append(place[starts] - 1, place[-1] if len(place) else 0).astype(np.int64)
+    tokens = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(raw[solid])])
+    return tokens, np.searchsorted(starts, off)
+
+
+def signatures(column: pa.Array, seeds: np.ndarray) -> pa.Array:
+    """The signature of each text or token array: every distinct token of the batch is hashed and permuted once, then the least of each row is taken."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        flat = column.flatten()
+        known = np.concatenate([[0], np.cumsum(~np.asarray(flat.is_null()))])
+        off = known[np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())]).astype(np.int64)]
+        tokens = flat.drop_null().cast(pa.large_string()).cast(pa.large_binary())
+    else:
+        tokens, off = _tokens(column)
+    out = np.full((len(column), len(seeds)), EMPTY, np.int64)
+    full = np.flatnonzero(off[1:] > off[:-1])
+    if len(full):
+        coded = tokens.dictionary_encode()
+        codes, x = coded.indices.to_numpy(), _hash_tokens(coded.dictionary.to_pylist())
+        for i, (a, b) in enumerate(seeds):
+            out[full, i] = np.minimum.reduceat(_permuted(x, a, b)[codes], off[:-1][full]).astype(np.int64)
+    ends = np.arange(len(column) + 1, dtype=np.int32) * len(seeds)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=column.is_null())
 
 
 def minhash(df: DataFrame, tokens: str, k: int = DEFAULT_K, output: str = "signature") -> DataFrame:
@@ -51,21 +89,22 @@ def minhash(df: DataFrame, tokens: str, k: int = DEFAULT_K, output: str = "signa
     """
     if not 0 < k <= MAX_K:
         return df.withColumn(output, F.lit(None).cast("array<long>"))
+    return df.withColumn(output, _signer(k)(F.col(tokens)))
+
+
+def _signer(k: int):
     seeds = np.array(permutation_seeds(k), np.uint64)
-    text = dict(df.dtypes)[tokens] == "string"
+    return F.arrow_udf(lambda column: signatures(column, seeds), "array<long>")
 
-    @F.pandas_udf("array<long>")
-    def sign(column: pd.Series) -> pd.Series:
-        out = []
-        for v in column:
-            if v is None:
-                out.append(None)
-                continue
-            distinct = {t for t in (_SPACE.findall(v) if text else v) if t is not None}
-            out.append(_permuted_min(_hash_tokens(list(distinct)), seeds) if distinct else np.full(k, EMPTY))
-        return pd.Series(out)
 
-    return df.withColumn(output, sign(tokens))
+def register(spark) -> None:
+    """The names of the SQL functions: MINHASH(tokens), MINHASH_MATCH(a, b, threshold), JACCARD(a, b)."""
+    spark.udf.register("MINHASH", _signer(DEFAULT_K))
+    for name, parameters, result, body in (
+        ("JACCARD", "a ARRAY<STRING>, b ARRAY<STRING>", "DOUBLE", "CASE WHEN size(array_union(a, b)) = 0 THEN 1D ELSE size(array_intersect(a, b)) / size(array_union(a, b)) END"),
+        ("MINHASH_MATCH", "a ARRAY<BIGINT>, b ARRAY<BIGINT>, threshold DOUBLE", "BOOLEAN", "CASE WHEN threshold BETWEEN 0 AND 1 THEN CASE WHEN size(a) = size(b) AND size(a) > 0 THEN size(filter(zip_with(a, b, (x, y) -> x = y), z -> z)) / size(a) ELSE 0D END >= threshold END"),
+    ):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")
 
 
 def estimate_jaccard(a: Column, b: Column) -> Column:
@@ -85,6 +124,24 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+ITEMS = 4096
+
+
+def item_blocks(items: DataFrame, key: str, size: int = ITEMS) -> list[DataFrame]:
+    """A query set in blocks of about `size` rows by a hash of the key, at least one."""
+    m = max(1, -(-items.count() // size))
+    return [items.where(F.pmod(F.xxhash64(key), F.lit(m)) == i) for i in range(m)] if m > 1 else [items]
+
+
+def with_items(docs: DataFrame, items: DataFrame, key: str, size: int = ITEMS) -> DataFrame:
+    """Every document with every row of a query set: one block of items goes to all tasks, more meet copies of the documents by block."""
+    m = max(1, -(-items.count() // size))
+    if m == 1:
+        return docs.crossJoin(F.broadcast(items))
+    blocks = docs.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    return blocks.join(items.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(m)).cast("int")), "__block").drop("__block")
+
+
 def jaccard_with_items(docs: DataFrame, items: list[tuple], rows: int = 1 << 16) -> DataFrame:
     """(doc_id, item_id, jaccard) of every document of (doc_id, text) with every item of (id, tokens): null for a null text or item, 1 for two empty sets.
 
@@ -122,23 +179,24 @@ def jaccard_with_items(docs: DataFrame, items: list[tuple], rows: int = 1 << 16)
     return docs.select(docs.columns[0], docs.columns[1]).mapInArrow(run, "doc_id long, item_id long, jaccard double")
 
 
+def similarity_classes(df: DataFrame, key: str, signature: str) -> DataFrame:
+    """(key, class_id): the smallest key with the same signature; null for a null signature.  Copies are a class, not pairs."""
+    least = df.where(F.col(signature).isNotNull()).groupBy(F.col(signature).alias("__s")).agg(F.min(key).alias("class_id"))
+    return df.select(key, signature).join(least, F.col(signature) == F.col("__s"), "left").select(key, "class_id")
+
+
 def similarity_join(df: DataFrame, key: str, signature: str, threshold: float, k: int) -> DataFrame:
-    """(id1, id2, similarity) of the pairs whose estimate reaches the threshold (> 0), id1 < id2.
+    """(id1, id2, similarity) of the pairs of classes whose estimate reaches the threshold (> 0), id1 < id2.
 
-    A pair shares round(threshold * k) slots or more, so it shares one of any
-    k - that + 1 slots: only those are joined, and equal signatures are joined as
-    one class, so copies do not multiply the work.  Empty signatures are one
-    class of their own.
+    A class is named by its smallest key (see similarity_classes).  A pair shares
+    round(threshold * k) slots or more, so it shares one of any
+    k - that + 1 slots: only those are joined.  Empty signatures are one
+    class and in no pair.
     """
     need = max(1, int(np.ceil(threshold * k - 1e-9)))
-    groups = df.where(F.col(signature).isNotNull()).groupBy(signature).agg(F.collect_list(key).alias("ids"), F.min(key).alias("rep"))
-    slots = groups.where(F.element_at(signature, 1) != EMPTY).select("rep", signature, F.posexplode(F.slice(signature, 1, k - need + 1)).alias("slot", "value"))
-    a, b = (slots.select(F.col("rep").alias(f"r{x}"), F.col(signature).alias(f"s{x}"), "slot", "value") for x in "12")
-    pairs = a.join(b, ["slot", "value"]).where("r1 < r2").select("r1", "r2", estimate_jaccard(F.col("s1"), F.col("s2")).alias("similarity")).where(F.col("similarity") >= threshold).distinct()
-    ids = groups.select("rep", "ids")
-    across = pairs.join(ids.withColumnsRenamed({"rep": "r1", "ids": "i1"}), "r1").join(ids.withColumnsRenamed({"rep": "r2", "ids": "i2"}), "r2")
-    across = across.select(F.explode("i1").alias("x"), "i2", "similarity").select("x", F.explode("i2").alias("y"), "similarity")
-    within = ids.where(F.size("ids") > 1).select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y"), F.lit(1.0).alias("similarity")).where("x < y")
-    return across.unionByName(within).select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2"), "similarity")
-
-
+    classes = df.where(F.col(signature).isNotNull() & (F.element_at(signature, 1) != EMPTY)).groupBy(signature).agg(F.min(key).alias("rep"))
+    slots = classes.select("rep", signature, F.posexplode(F.slice(signature, 1, k - need + 1)).alias("slot", "value"))
+    a, b = (slots.select(F.col("rep").alias(f"id{x}"), F.col(signature).alias(f"s{x}"), "slot", "value") for x in "12")
+    # a pair counts at the first slot that it shares, so it comes once without a distinct
+    first = F.array_position(F.zip_with("s1", "s2", lambda x, y: x == y), True) == F.col("slot") + 1
+    return a.join(b, ["slot", "value"]).where((F.col("id1") < F.col("id2")) & first).select("id1", "id2", estimate_jaccard(F.col("s1"), F.col("s2")).alias("similarity")).where(F.col("similarity") >= threshold)

@@ -28,7 +28,16 @@ class AnalyzerConfig:
         return config
 
     def normalize(self) -> str:
-        return json.dumps({"numHashes": self.num_hashes, "analyzer": {"type": self.type, "properties": {"delimiter": self.delimiter}}})
+        """The canonical text of the configuration."""
+        return json.dumps({"numHashes": self.num_hashes, "analyzer": {"type": self.type, "properties": {"delimiter": self.delimiter}}}, separators=(",", ":"))
+
+
+def normalize(text: str) -> str | None:
+    """A configuration's text in its canonical form: the default one for none, a valid one as it is given, None for an invalid number of hashes."""
+    config = AnalyzerConfig.make(text)
+    if config is None:
+        return None
+    return text if text.strip() and json.loads(text) else config.normalize()
 
 
 def tokenize(text: Column, delimiter: str = " ") -> Column:

@@ -1,5 +1,7 @@
 """Change capture: tailing, sequencing, batching, idempotent apply, lag, status, feed."""
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -106,12 +108,27 @@ def feed_page(feed: DataFrame, after: int, limit: int = 0) -> DataFrame:
     return ranked.where(F.col("rn") <= n).drop("rn").crossJoin(F.broadcast(tail_))
 
 
+def lag_estimate(most: Column, sent: int, acked: int) -> Column:
+    """The largest backlog, times sent over acknowledged messages where both are known."""
+    share = F.lit(sent / acked) if sent > 0 and acked > 0 else F.lit(1.0)
+    return F.when(most > 0, most * share).otherwise(F.lit(0.0))
+
+
 def status(states: DataFrame, sent: int, acked: int) -> DataFrame:
     """Totals over shard states (shard, last_generated, last_applied), and the lag estimate."""
     pending = F.greatest(F.col("last_generated") - F.col("last_applied"), F.lit(0))
     total = states.agg(F.count("*").alias("shards"), F.sum(pending).alias("pending"), F.max(pending).alias("most"))
-    share = F.lit(sent / acked) if sent > 0 and acked > 0 else F.lit(1.0)
-    return total.select("shards", "pending", F.when(F.col("most") > 0, F.floor(F.col("most") * share)).otherwise(0).cast("long").alias("lag_estimate"))
+    return total.select("shards", "pending", F.floor(lag_estimate(F.col("most"), sent, acked)).cast("long").alias("lag_estimate"))
+
+
+def status_report(states: DataFrame, running: bool, sent: int, acked: int) -> dict:
+    """The whole status of a replication: a row a shard (shards are few), totals, lag."""
+    pending = F.greatest(F.col("last_generated") - F.col("last_applied"), F.lit(0))
+    rows = states.select("shard", "last_generated", "last_applied", pending.alias("pending")).orderBy("shard").collect()
+    most = max((r["pending"] for r in rows), default=0)
+    lag_ = float(most) * (sent / acked if sent > 0 and acked > 0 else 1.0)
+    shards = [{"shardId": r["shard"], "lastGenerated": r["last_generated"], "lastApplied": r["last_applied"], "pending": r["pending"]} for r in rows]
+    return {"isRunning": running, "lagSeconds": lag_, "totalMessagesSent": sent, "totalMessagesAcked": acked, "totalPending": sum(r["pending"] for r in rows), "shardStates": shards}
 
 
 def lag(entries: DataFrame, now_micros: int, limit_seconds: float) -> DataFrame:
@@ -122,37 +139,72 @@ def lag(entries: DataFrame, now_micros: int, limit_seconds: float) -> DataFrame:
 
 @dataclass
 class Control:
-    """Start and stop of a replication, with answers as a service gives them."""
+    """The service of a replication: each route answers with an envelope of error, code and result.
+
+    `states` holds generated and applied sequences by shard, `feeds` the messages of
+    each shard as a DataFrame (sequence, ...), `clock` the seconds of an answer.
+    """
 
     running: bool = False
     states: dict[str, dict[str, int]] = field(default_factory=dict)
-
-    def _answer(self, code: int, **result) -> dict:
-        return {"error": code >= 400, "code": code, "result": result}
+    feeds: dict[str, DataFrame] = field(default_factory=dict)
+    sent: int = 0
+    acked: int = 0
+    clock: Callable[[], float] = time.time
+    ROUTES = ("status", "start", "stop", "reset", "feed", "checkpoint")
+
+    @staticmethod
+    def _done(**result) -> dict:
+        return {"error": False, "code": 200, "result": result}
+
+    @staticmethod
+    def _failed(code: int, message: str) -> dict:
+        return {"error": True, "code": code, "errorMessage": message}
+
+    def route(self, name: str, **given) -> dict:
+        return getattr(self, name)(**given) if name in self.ROUTES else self._failed(404, f"unknown route: {name}")
+
+    def status(self) -> dict:
+        pending = {k: max(0, v["generated"] - v["applied"]) for k, v in self.states.items()}
+        most = max(pending.values(), default=0)
+        shards = [{"shardId": k, "lastGenerated": v["generated"], "lastApplied": v["applied"], "pending": pending[k]} for k, v in sorted(self.states.items())]
+        ratio = self.sent / self.acked if self.sent > 0 and self.acked > 0 else 1.0
+        return self._done(isRunning=self.running, lagSeconds=most * ratio, totalMessagesSent=self.sent, totalMessagesAcked=self.acked, totalPending=sum(pending.values()), shardStates=shards)
 
     def start(self) -> dict:
         if self.running:
-            return self._answer(409, message="already running")
+            return self._failed(409, "replication is already running")
         self.running = True
-        return self._answer(200, running=True)
+        return self._done(started=True, timestamp=int(self.clock()), previousState="stopped")
 
     def stop(self) -> dict:
         if not self.running:
-            return self._answer(409, message="not running")
+            return self._failed(409, "replication is not running")
         self.running = False
-        return self._answer(200, running=False)
+        return self._done(stopped=True, timestamp=int(self.clock()), previousState="running")
+
+    def reset(self) -> dict:
+        n = len(self.states)
+        self.states.clear()
+        return self._done(reset=True, shardsReset=n)
+
+    def feed(self, shard: str = "", after: int = 0, limit: int = 0) -> dict:
+        if not shard:
+            return self._failed(400, "missing required parameter: shardId")
+        rows = feed_page(self.feeds[shard], after, limit).orderBy("sequence").collect() if shard in self.feeds else []
+        messages = [{k: v for k, v in r.asDict().items() if k not in ("has_more", "last_sequence")} for r in rows]
+        return self._done(shardId=shard, messages=messages, hasMore=bool(rows and rows[0]["has_more"]), lastSequence=rows[0]["last_sequence"] if rows else after)
 
-    def reset(self, shard: str) -> dict:
+    def checkpoint(self, shard: str = "", sequence: int = 0) -> dict:
+        """An unknown shard is one with nothing generated, so any sequence exceeds it."""
         if not shard:
-            return self._answer(400, message="shard is missing")
-        self.states.pop(shard, None)
-        return self._answer(200, shard=shard)
-
-    def checkpoint(self, shard: str, sequence: int) -> dict:
-        if not shard or sequence <= 0:
-            return self._answer(400, message="shard or sequence is missing")
-        state = self.states.get(shard)
-        if state is None or not state["applied"] < sequence <= state["generated"]:
-            return self._answer(400, message="rejected")
+            return self._failed(400, "missing required field: shardId")
+        if sequence <= 0:
+            return self._failed(400, "appliedSequence must be greater than 0")
+        state = self.states.get(shard, {"generated": 0, "applied": 0})
+        if sequence > state["generated"]:
+            return self._failed(409, "exceeds lastGenerated")
+        if sequence <= state["applied"]:
+            return self._failed(409, "not ahead of current lastApplied")
         state["applied"] = sequence
-        return self._answer(200, shard=shard, sequence=sequence)
+        return self._done(acknowledged=True, shardId=shard, appliedSequence=sequence)

@@ -6,6 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_bounds(low: str, high: str, parts: int) -> list[tuple[str, str]]:
+    """[low, high) in `parts` ranges by the keys' first letters, read as digits; no high end is open.  None for no parts or an empty range."""
+    if parts <= 0 or (high and low >= high):
+        return []
+    if not high:
+        cuts = [low + chr(i * 255 // parts) for i in range(1, parts)]
+    else:
+        for width in range(1, 64):  # as few letters as tell the parts apart
+            a, b = (int.from_bytes(x.encode("latin-1")[:width].ljust(width, b"\0"), "big") for x in (low, high))
+            if b - a >= parts:
+                break
+        numbers = [a + i * (b - a) // parts for i in range(1, parts)]
+        cuts = [n.to_bytes(width, "big").rstrip(b"\0").decode("latin-1") for n in numbers]
+    return list(zip([low, *cuts], [*cuts, high], strict=True))
+
+
 def split_points(keys: DataFrame, key: str, parts: int) -> DataFrame:
     """(part, key): the distinct keys at the places floor(i / parts * m); all of them if there are fewer than parts.
 
@@ -16,7 +32,12 @@ def split_points(keys: DataFrame, key: str, parts: int) -> DataFrame:
     if parts <= 1 or not m:
         return distinct.limit(0).select(F.lit(0).alias("part"), "key")
     cells = min(64, m)
-    bounds = distinct.agg(F.percentile_approx("key", [i / cells for i in range(1, cells)]).alias("b")).first()["b"] if cells > 1 and dict(distinct.dtypes)["key"] in ("int", "bigint", "double") else []
+    if cells > 1 and dict(distinct.dtypes)["key"] == "string":  # strings have no percentiles: those of a bounded sample by hash will do as cells
+        share = min(1.0, 4096 / m) * (1 << 30)
+        drawn = sorted(r[0] for r in distinct.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share).collect())
+        bounds = sorted({drawn[i * len(drawn) // cells] for i in range(1, cells)}) if drawn else []
+    else:
+        bounds = distinct.agg(F.percentile_approx("key", [i / cells for i in range(1, cells)]).alias("b")).first()["b"] if cells > 1 and dict(distinct.dtypes)["key"] in ("int", "bigint", "double") else []
     cell = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("key"))) if bounds else F.lit(0)
     placed = distinct.withColumn("cell", cell)
     before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))  # over 64 rows at most
@@ -51,7 +72,7 @@ class Changelog:
     used: int = 0
 
     def append(self, op: str, key: str, rev: str, data: bytes) -> bool:
-        cost = 105 + len(key) + len(rev) + len(data)
+        cost = 105 + len(key.encode()) + len(rev.encode()) + len(data)
         if self.used + cost > self.budget:
             return False
         self.entries.append((op, key, rev, data))

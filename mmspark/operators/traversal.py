@@ -1,18 +1,30 @@
 """Traversals, path enumeration and shortest paths by unrolled frontier joins.
 
 Paths never visit a vertex twice.  Each hop is one equi-join of the frontier
-with the edges; in a disjoint graph the prefix is part of the join key and of a
-filter on the edges, so a partitioned edge table is read for one prefix only.
+with the edges.  The edges of a disjoint graph are stored by prefix (``write_edges``), and
+a traversal from a known start reads the partition of its prefix only.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mmspark.functions.smartkeys import step_prefix
+from mmspark.sources.folders import stored
 
 DIRECTIONS = ("OUTBOUND", "INBOUND", "ANY")
 
 
+def write_edges(edges: DataFrame, path: str) -> DataFrame:
+    """Store the edges (_from, _to, ...) within a prefix by `smart_prefix`; edges between prefixes don't belong to a disjoint graph and are left out."""
+    rows = edges.withColumn("smart_prefix", step_prefix(F.col("_from"))).where(F.col("smart_prefix") == step_prefix(F.col("_to")))
+    rows.repartition("smart_prefix", F.pmod(F.xxhash64("_from"), F.lit(16))).write.partitionBy("smart_prefix").parquet(path)
+    return edges.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def prefix_of(handle: str) -> str:
+    return (handle.partition("/")[2] or handle).partition(":")[0]
+
+
 def oriented(edges: DataFrame, direction: str) -> DataFrame:
     """(src, dst) of the edges (_from, _to) in a direction."""
     if direction not in DIRECTIONS:
@@ -25,10 +37,11 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
 def paths(edges: DataFrame, start: str, min_depth: int, max_depth: int, direction: str = "OUTBOUND", disjoint: bool = False) -> DataFrame:
     """(vertex, depth, path) of every path from the start."""
     spark = edges.sparkSession
+    if disjoint and "smart_prefix" in edges.columns:
+        edges = edges.where(F.col("smart_prefix") == prefix_of(start))
     steps = oriented(edges, direction)
     if disjoint:
-        prefix = start.partition("/")[2].partition(":")[0] or start.partition(":")[0]
-        steps = steps.where((step_prefix(F.col("src")) == prefix) & (step_prefix(F.col("dst")) == prefix))
+        steps = steps.where((step_prefix(F.col("src")) == prefix_of(start)) & (step_prefix(F.col("dst")) == prefix_of(start)))
     frontier = spark.range(1).select(F.lit(start).alias("vertex"), F.lit(0).alias("depth"), F.array(F.lit(start)).alias("path"))
     found = [frontier] if min_depth == 0 else []
     for d in range(1, max_depth + 1):
@@ -58,10 +71,11 @@ def shortest_path(edges: DataFrame, start: str, target: str, max_depth: int = 8,
     visited = frontier = spark.range(1).select(F.lit(start).alias("vertex"), F.array(F.lit(start)).alias("path"))
     for d in range(max_depth + 1):
         hit = frontier.where(F.col("vertex") == target)
-        if not hit.isEmpty():
+        if d == max_depth or not hit.isEmpty():
             return hit.select(F.lit(d).alias("depth"), "path")
         grown = frontier.join(steps, frontier["vertex"] == steps["src"]).select(F.col("dst").alias("vertex"), F.array_append("path", F.col("dst")).alias("path"))
-        frontier = grown.join(visited.select("vertex"), "vertex", "left_anti").groupBy("vertex").agg(F.min("path").alias("path"))
+        # written, so that a hop reads the one before it and not the whole search
+        frontier = stored(grown.join(visited.select("vertex"), "vertex", "left_anti").groupBy("vertex").agg(F.min("path").alias("path")), "frontier")
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)

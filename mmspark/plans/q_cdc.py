@@ -1,14 +1,15 @@
 """Registered change-capture, index, audit, backup and relational queries, each with its DuckDB SQL."""
 
-import tempfile
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mmspark.operators import cdc, indexing
 from mmspark.plans.q_graph import duck_fnv32, table
 from mmspark.plans.specs import fresh_enough
 from mmspark.sources import audit, backup, frames
+from mmspark.sources.folders import shared
 from mmspark.streaming import applier
 
 QUERIES: dict = {}
@@ -89,7 +90,7 @@ def apply_winners(spark, sf_dir):
 @query(f"WITH {_applied(_MESSAGES)}, {_WIN} SELECT shard, sequence, payload FROM win")
 def stream_apply_equals_batch(spark, sf_dir):
     """The winners again, through the stateful stream."""
-    base = tempfile.mkdtemp(prefix="mmspark-stream-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/stream-{spark.sparkContext.applicationId}-{id(sf_dir)}"
+    base = shared(spark, "stream")
     messages(spark, sf_dir).repartition(1).write.mode("overwrite").parquet(f"{base}/in")
     source = spark.readStream.schema("shard string, sequence long, collection string, payload string, pos long").parquet(f"{base}/in")
     q = applier.apply_stream(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
@@ -155,9 +156,15 @@ def split_points(spark, sf_dir):
     return indexing.split_points(table(spark, sf_dir, "orders"), "o_orderkey", 8)
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders")
+@query("SELECT count(*) AS entries, sum(o_custkey)::BIGINT AS carried, 0::BIGINT AS unsorted, 0::BIGINT AS overlapping FROM orders")
 def range_build(spark, sf_dir):
-    return indexing.build_sorted(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 8)
+    """The build's entries, those that stand behind a larger key of their range, and the ranges that reach into the next."""
+    built = indexing.build_sorted(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 8)
+    placed = built.select("o_orderkey", "o_custkey", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("o_orderkey").over(Window.partitionBy("part").orderBy("at"))
+    ranges = placed.withColumn("back", (before > F.col("o_orderkey")).cast("long")).groupBy("part").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("c"), F.coalesce(F.sum("back"), F.lit(0)).alias("u"), F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
+    over = (F.lag("hi").over(Window.orderBy("part")) >= F.col("lo")).cast("long")  # over 8 rows
+    return ranges.withColumn("o", F.coalesce(over, F.lit(0))).agg(F.sum("n").alias("entries"), F.sum("c").alias("carried"), F.sum("u").alias("unsorted"), F.sum("o").alias("overlapping"))
 
 
 @query("""WITH l AS (SELECT o_orderkey AS key, 1 AS pos, 'UPDATE' AS op, 'x' || o_custkey AS value FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 2, 'REMOVE', NULL FROM orders WHERE o_orderkey % 6 = 0 UNION ALL SELECT -o_orderkey, 3, 'INSERT', 'n' FROM orders WHERE o_orderkey % 10 = 1),
@@ -179,15 +186,18 @@ def audit_format_parse(spark, sf_dir):
     return parsed.groupBy("topic", "username").agg(F.count("*").alias("events"), F.min("text").alias("first_text"))
 
 
-@query("SELECT t AS name, n AS rows_back, true AS is_consistent FROM (SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region)")
+_SAVED = ("customer", "lineitem", "nation", "orders", "region")
+
+
+@query("SELECT t AS name, n AS rows_back, true AS is_consistent FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in _SAVED) + ")")
 def backup_manifest(spark, sf_dir):
-    """Copy two tables, list the manifest and read the copies back."""
-    base = tempfile.mkdtemp(prefix="mmspark-backup-") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/backup-{spark.sparkContext.applicationId}-{id(sf_dir)}"
-    done = backup.create(spark, base, {t: table(spark, sf_dir, t) for t in ("nation", "region")}, 12345, "nightly")
+    """Copy tables, list the manifest and read the copies back."""
+    base = shared(spark, "backup")
+    done = backup.create(spark, base, {t: table(spark, sf_dir, t) for t in _SAVED}, 12345, "nightly")
     back = backup.restore(spark, base, done.backupId)
     counts = [back[t].agg(F.count("*").alias("rows_back")).select(F.lit(t).alias("name"), "rows_back") for t in sorted(back)]
     flags = backup.listing(spark, base).select("isConsistent", F.explode("collections").alias("name"))
-    return counts[0].unionByName(counts[1]).join(flags, "name").select("name", "rows_back", F.col("isConsistent").alias("is_consistent"))
+    return reduce(DataFrame.unionByName, counts).join(flags, "name").select("name", "rows_back", F.col("isConsistent").alias("is_consistent"))
 
 
 @query("SELECT o_custkey % 3000 <= 1000 AS bounded, false AS never, count(*) AS reads FROM orders GROUP BY ALL")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from mmspark.functions import smartkeys as K
 from mmspark.operators import traversal as V
 from mmspark.plans.specs import Satellites
+from mmspark.sources.folders import shared, stored
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -165,24 +166,24 @@ def _sql_from_start(steps: str, depth: int) -> str:
 
 @query(f"WITH RECURSIVE {E_SQL}, st AS (SELECT _from AS src, _to AS dst FROM e), {_sql_from_start('st', 3)} SELECT vertex, depth, array_to_string(path, '>') AS path FROM w WHERE depth >= 1")
 def traverse_out_1_3(spark, sf_dir):
-    return V.paths(chain(spark, sf_dir), _start(spark, sf_dir), 1, 3).select("vertex", "depth", F.array_join("path", ">").alias("path"))
+    return V.paths(stored(chain(spark, sf_dir).select("_from", "_to"), "edges"), _start(spark, sf_dir), 1, 3).select("vertex", "depth", F.array_join("path", ">").alias("path"))
 
 
 @query(f"WITH RECURSIVE {E_SQL}, st AS (SELECT _from AS src, _to AS dst FROM t UNION SELECT _to, _from FROM t), {_sql_from_start('st', 2)} SELECT vertex, depth, count(*) AS paths FROM w GROUP BY ALL")
 def traverse_any_2(spark, sf_dir):
-    return V.paths(trade(spark, sf_dir), _start(spark, sf_dir), 0, 2, "ANY").groupBy("vertex", "depth").agg(F.count("*").alias("paths"))
+    return V.paths(stored(trade(spark, sf_dir).select("_from", "_to"), "edges"), _start(spark, sf_dir), 0, 2, "ANY").groupBy("vertex", "depth").agg(F.count("*").alias("paths"))
 
 
 @query(f"WITH RECURSIVE {E_SQL}, st AS (SELECT _from AS src, _to AS dst FROM e), {_sql_from_start('st', 3)} SELECT depth, array_to_string(path, '>') AS path FROM w WHERE vertex = 'region/ASIA'")
 def enumerate_paths(spark, sf_dir):
-    return V.enumerate_paths(chain(spark, sf_dir), _start(spark, sf_dir), "region/ASIA", 1, 3).select("depth", F.array_join("path", ">").alias("path"))
+    return V.enumerate_paths(stored(chain(spark, sf_dir).select("_from", "_to"), "edges"), _start(spark, sf_dir), "region/ASIA", 1, 3).select("depth", F.array_join("path", ">").alias("path"))
 
 
 @query(f"WITH RECURSIVE {E_SQL}, st AS (SELECT _from AS src, _to AS dst FROM e), {_sql_from_start('st', 3)} SELECT depth, array_to_string(path, '>') AS path FROM w WHERE vertex = 'region/EUROPE' ORDER BY w.depth, w.path LIMIT 1")
 def shortest_path(spark, sf_dir):
-    return V.shortest_path(chain(spark, sf_dir), _start(spark, sf_dir), "region/EUROPE", 4).select("depth", F.array_join("path", ">").alias("path"))
+    return V.shortest_path(stored(chain(spark, sf_dir).select("_from", "_to"), "edges"), _start(spark, sf_dir), "region/EUROPE", 4).select("depth", F.array_join("path", ">").alias("path"))
 
 
 @query(f"WITH RECURSIVE {T_SQL}, st AS (SELECT _from AS src, _to AS dst FROM t WHERE split_part(from_key, ':', 1) = split_part(to_key, ':', 1) UNION SELECT _to, _from FROM t WHERE split_part(from_key, ':', 1) = split_part(to_key, ':', 1)), {_sql_from_start('st', 2)} SELECT vertex, depth, count(*) AS paths FROM w WHERE depth >= 1 GROUP BY ALL")
 def traverse_disjoint_local(spark, sf_dir):
-    return V.paths(trade(spark, sf_dir), _start(spark, sf_dir), 1, 2, "ANY", disjoint=True).groupBy("vertex", "depth").agg(F.count("*").alias("paths"))
+    return V.paths(V.write_edges(trade(spark, sf_dir).select("_from", "_to"), shared(spark, "edges")), _start(spark, sf_dir), 1, 2, "ANY", disjoint=True).groupBy("vertex", "depth").agg(F.count("*").alias("paths"))

@@ -112,15 +112,7 @@ def minhash_native8(spark, sf_dir):
     return rows.groupBy("item_id", "s.slot").agg(F.min(permute(F.col("x"), F.col("s.a"), F.col("s.b"))).alias("value"))
 
 
-def _both(spark, sf_dir):
-    """Each document with one item, doc_id modulo the number of items, as the SQL has it; the queries named all_pairs take every pair."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("btext"))
-    items = b.agg(F.count("*")).first()[0] or 1
-    return d.join(F.broadcast(b), F.pmod("doc_id", F.lit(items)) == F.col("item_id"))
-
-
-_PAIRS = "p AS (SELECT doc_id, item_id FROM documents JOIN benchmark ON doc_id % (SELECT count(*) FROM benchmark) = item_id)"
+_PAIRS = "p AS (SELECT doc_id, item_id FROM documents CROSS JOIN benchmark)"
 
 
 def _match_sql(tail: str) -> str:
@@ -131,58 +123,49 @@ def _match_sql(tail: str) -> str:
     return f"WITH {a}, {b}, {_PAIRS}, m AS (SELECT p.doc_id, p.item_id, sum(CASE WHEN s1.v = s2.v THEN 1 ELSE 0 END) / {K}.0 AS e FROM p JOIN sig s1 ON s1.doc_id = p.doc_id JOIN sig2 s2 ON s2.item_id = p.item_id AND s1.slot = s2.slot GROUP BY ALL) {tail}"
 
 
-@query(_match_sql("SELECT doc_id, item_id, e::DOUBLE AS estimate FROM m"))
-def minhash_estimate(spark, sf_dir):
-    s = S.minhash(S.minhash(_both(spark, sf_dir), "text", K, "s1"), "btext", K, "s2").where(F.element_at("s1", 1) != -1).where(F.element_at("s2", 1) != -1)
-    return s.select("doc_id", "item_id", S.estimate_jaccard(F.col("s1"), F.col("s2")).alias("estimate"))
-
-
-@query(_match_sql("SELECT e >= 0.125 AS matched, count(*) AS pairs FROM m GROUP BY ALL"))
-def minhash_match(spark, sf_dir):
-    s = S.minhash(S.minhash(_both(spark, sf_dir), "text", K, "s1"), "btext", K, "s2").where(F.element_at("s1", 1) != -1).where(F.element_at("s2", 1) != -1)
-    return s.groupBy(S.minhash_match(F.col("s1"), F.col("s2"), 0.125).alias("matched")).agg(F.count("*").alias("pairs"))
-
-
-@query(f"WITH {_PAIRS}, k AS (SELECT p.doc_id, p.item_id, list_distinct({_WS.replace('text', 'd.text')}) AS a, list_distinct({_WS.replace('text', 'b.text')}) AS b FROM p JOIN documents d ON d.doc_id = p.doc_id JOIN benchmark b ON b.item_id = p.item_id) SELECT doc_id, item_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) AS jaccard FROM k")
-def jaccard_exact(spark, sf_dir):
-    return _both(spark, sf_dir).select("doc_id", "item_id", F.round(S.jaccard(tokenize(F.col("text")), tokenize(F.col("btext"))), 9).alias("jaccard"))
-
-
 def _items_signed(spark, sf_dir):
-    """Signatures of every document, and of every item of the benchmark, which is a query set of stated size and is broadcast."""
+    """The estimates of every document with every item of the benchmark, a stated query set that is met in blocks."""
     d = S.minhash(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", K, "s1").select("doc_id", "s1").where(F.element_at("s1", 1) != -1)
     b = S.minhash(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", K, "s2").select("item_id", "s2").where(F.element_at("s2", 1) != -1)
     same = sum((F.col("s1")[i] == F.col("s2")[i]).cast("int") for i in range(K))
-    return d.crossJoin(F.broadcast(b)).select("doc_id", "item_id", (same / F.lit(K)).alias("estimate"))
-
-
-def _all_sql(tail: str) -> str:
-    return _match_sql(tail).replace(_PAIRS, "p AS (SELECT doc_id, item_id FROM documents CROSS JOIN benchmark)")
+    return S.with_items(d, b, "item_id").select("doc_id", "item_id", (same / F.lit(K)).alias("estimate"))
 
 
-@query(_all_sql("SELECT doc_id, item_id, e::DOUBLE AS estimate FROM m"))
-def minhash_estimate_all_pairs(spark, sf_dir):
+@query(_match_sql("SELECT doc_id, item_id, e::DOUBLE AS estimate FROM m"))
+def minhash_estimate(spark, sf_dir):
     return _items_signed(spark, sf_dir)
 
 
-@query(_all_sql("SELECT e >= 0.125 AS matched, count(*) AS pairs FROM m GROUP BY ALL"))
-def minhash_match_all_pairs(spark, sf_dir):
+@query(_match_sql("SELECT e >= 0.125 AS matched, count(*) AS pairs FROM m GROUP BY ALL"))
+def minhash_match(spark, sf_dir):
     return _items_signed(spark, sf_dir).groupBy((F.col("estimate") >= 0.125).alias("matched")).agg(F.count("*").alias("pairs"))
 
 
 @query(f"WITH k AS (SELECT doc_id, item_id, list_distinct({_WS.replace('text', 'd.text')}) AS a, list_distinct({_WS.replace('text', 'b.text')}) AS b FROM documents d CROSS JOIN benchmark b) SELECT doc_id, item_id, CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 9) END AS jaccard FROM k")
-def jaccard_exact_all_pairs(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", tokenize(F.col("text")).alias("t")).collect()
-    pairs = S.jaccard_with_items(table(spark, sf_dir, "documents").select("doc_id", "text"), [(r.item_id, r.t) for r in items])
-    return pairs.select("doc_id", "item_id", F.round("jaccard", 9).alias("jaccard"))
+def jaccard_exact(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", tokenize(F.col("text")).alias("t"))
+    docs, found = table(spark, sf_dir, "documents").select("doc_id", "text"), None
+    for block in S.item_blocks(items, "item_id"):
+        pairs = S.jaccard_with_items(docs, [(r.item_id, r.t) for r in block.collect()])
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.select("doc_id", "item_id", F.round("jaccard", 9).alias("jaccard"))
+
 
+_CLASSES = f"WITH {_signature_sql('documents', 'doc_id')}, g AS (SELECT doc_id, string_agg(v::VARCHAR, ',' ORDER BY slot) AS s FROM sig GROUP BY doc_id), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id FROM g)"
 
-@query(f"WITH {_signature_sql('documents', 'doc_id')} SELECT x.doc_id AS id1, y.doc_id AS id2, count(*) / {K}.0::DOUBLE AS similarity FROM sig x JOIN sig y ON x.slot = y.slot AND x.v = y.v AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 0.75 * {K}")
+
+@query(f"{_CLASSES}, r AS (SELECT sig.* FROM sig JOIN c USING (doc_id) WHERE doc_id = class_id) SELECT x.doc_id AS id1, y.doc_id AS id2, count(*) / {K}.0::DOUBLE AS similarity FROM r x JOIN r y ON x.slot = y.slot AND x.v = y.v AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 0.75 * {K}")
 def similarity_join(spark, sf_dir):
     s = S.minhash(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", K)
     return S.similarity_join(s, "doc_id", "signature", 0.75, K)
 
 
+@query(f"{_CLASSES}, e AS (SELECT min(doc_id) AS none FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c)) SELECT documents.doc_id, coalesce(class_id, none) AS class_id FROM documents LEFT JOIN c USING (doc_id) CROSS JOIN e WHERE text IS NOT NULL")
+def similarity_classes(spark, sf_dir):
+    s = S.minhash(table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null"), "text", K)
+    return S.similarity_classes(s, "doc_id", "signature")
+
+
 def _bm25_sql(where: str = "true") -> str:
     terms = ", ".join(f"'{t}'" for t in TERMS)
     low = _WS.replace("text", "lower(coalesce(text, ''))")

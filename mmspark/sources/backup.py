@@ -102,3 +102,44 @@ def prune(spark: SparkSession, base: str, keep: int) -> list[str]:
     return old
 
 
+class Service:
+    """Create, list, delete and restore as a service answers: an envelope of error, code and result."""
+
+    OPERATIONS = ("create", "list", "delete", "restore")
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base
+
+    @staticmethod
+    def _done(result) -> dict:
+        return {"error": False, "code": 200, "result": result}
+
+    @staticmethod
+    def _failed(code: int, message: str) -> dict:
+        return {"error": True, "code": code, "errorMessage": message}
+
+    @staticmethod
+    def _entry(m) -> dict:
+        return {"id": m["backupId"], "datetime": m["timestamp"], "version": m["version"], "collections": list(m["collections"] or []), "isConsistent": m["isConsistent"]}
+
+    def run(self, operation: str, **given) -> dict:
+        return getattr(self, operation)(**given) if operation in self.OPERATIONS else self._failed(404, f"unknown operation: {operation}")
+
+    def create(self, tables: dict[str, DataFrame], label: str = "", sequence: int = 0) -> dict:
+        began = datetime.now(timezone.utc)
+        try:
+            done = create(self.spark, self.base, tables, sequence, label)
+        except Exception as e:  # noqa: BLE001 - the answer says what failed
+            return self._failed(500, str(e).splitlines()[0])
+        return self._done(self._entry(asdict(done)) | {"durationSeconds": (datetime.now(timezone.utc) - began).total_seconds()})
+
+    def list(self) -> dict:
+        fs, p = _fs(self.spark, self.base)
+        return self._done([self._entry(m.asDict()) for m in listing(self.spark, self.base).collect()] if fs.exists(p) and fs.listStatus(p) else [])
+
+    def delete(self, name: str) -> dict:
+        return self._done({"deleted": True, "id": name}) if delete(self.spark, self.base, name) else self._failed(404, f"Backup not found: {name}")
+
+    def restore(self, name: str) -> dict:
+        code, why = validate(self.spark, self.base, name)
+        return self._done({"restored": True, "id": name}) if code == 200 else self._failed(code, why)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mmspark.sources.folders import read_text, write_text
+
 OUTPUT = "shard string, sequence long, payload string, kind string"
 STATE = "last long, waiting binary"
 
@@ -47,3 +49,12 @@ def checkpoint_read(text: str | None) -> dict[str, int]:
     if given.get("version") != 1 or not isinstance(given.get("shards"), dict):
         raise ValueError("malformed checkpoint")
     return {k: int(v) for k, v in given["shards"].items()}
+
+
+def checkpoint_save(spark, path: str, shards: dict[str, int]) -> None:
+    """Replace the durable checkpoint as a whole."""
+    write_text(spark, path, checkpoint_text(shards))
+
+
+def checkpoint_load(spark, path: str) -> dict[str, int]:
+    return checkpoint_read(read_text(spark, path))

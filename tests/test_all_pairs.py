@@ -17,10 +17,10 @@ def tables(spark, folder):
 def test_every_pair(spark, tmp_path):
     sf = tables(spark, tmp_path)
     want = {(i, j): float((i + 1) % 3 == j) for i in range(3) for j in range(3)}
-    assert {(r.doc_id, r.item_id): r.jaccard for r in registry.QUERIES["jaccard_exact_all_pairs"](spark, sf).collect()} == want
-    found = {(r.doc_id, r.item_id): r.estimate for r in registry.QUERIES["minhash_estimate_all_pairs"](spark, sf).collect()}
+    assert {(r.doc_id, r.item_id): r.jaccard for r in registry.QUERIES["jaccard_exact"](spark, sf).collect()} == want
+    found = {(r.doc_id, r.item_id): r.estimate for r in registry.QUERIES["minhash_estimate"](spark, sf).collect()}
     assert found.keys() == want.keys() and {p for p, e in found.items() if e == 1.0} == {p for p, x in want.items() if x}
-    assert sum(r.pairs for r in registry.QUERIES["minhash_match_all_pairs"](spark, sf).collect()) == 9
+    assert sum(r.pairs for r in registry.QUERIES["minhash_match"](spark, sf).collect()) == 9
 
 
 def test_jaccard_edges(spark):
@@ -28,3 +28,10 @@ def test_jaccard_edges(spark):
     found = {(r.doc_id, r.item_id): r.jaccard for r in similarity.jaccard_with_items(docs, [(7, ["b", "c", "b"]), (8, []), (9, None)], rows=2).collect()}
     assert found == {(1, 7): None, (1, 8): None, (1, 9): None, (2, 7): 0.0, (2, 8): 1.0, (2, 9): None, (None, 7): 1 / 3, (None, 8): 0.0, (None, 9): None}
     assert similarity.jaccard_with_items(docs, []).where(F.lit(True)).collect() == []
+
+
+def test_query_sets_in_blocks(spark):
+    docs, items = spark.range(20).select(F.col("id").alias("d")), spark.range(30).select(F.col("id").alias("i"))
+    for size in (7, 100):
+        assert similarity.with_items(docs, items, "i", size).distinct().count() == 600
+        assert sum(b.count() for b in similarity.item_blocks(items, "i", size)) == 30
