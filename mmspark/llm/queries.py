@@ -79,7 +79,50 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_join, op3_secret_scan, op4_packing, op5_embedding_dedup, op6_substring_dedup, op7_language_id, op8_top_k, op9_line_dedup, op10_bpe_round_trip)}
 
+#: Ends in reach(id, r): every id r that id reaches by pairs p(a, b), itself included; ids come from `ids`.
+_REACH = "reach(id, r) AS (SELECT id, id FROM ids UNION SELECT reach.id, p.b FROM reach JOIN p ON reach.r = p.a)"
+_ANY_CASE = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+_VALUE = "[A-Za-z0-9+/_.=-]+"
+_KINDS = (
+    ("assign", 0, f"""({_ANY_CASE})["'']?\\x20*[:=]\\x20*["'']?({_VALUE})""", 2, 6, "true"),
+    ("access", 1, "AKIA[A-Z0-9]+", 0, 20, "true"),
+    ("hex", 2, "[0-9a-f]+", 0, 24, "true"),
+    ("bare", 3, "[A-Za-z0-9+/_=-]+", 0, 20, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')"),
+)
+
+
+def _found_sql(name: str, number: int, pattern: str, group: int, least: int, also: str) -> str:
+    """The spans of a kind: matches and the pieces between them alternate."""
+    return f"""SELECT doc_id, source, '{name}' AS kind, {number} AS k, b AS s, b + length(m) AS e, v FROM (SELECT doc_id, source, ms[i] AS m, vs[i] AS v,
+  list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS b
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, source, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {group}) AS vs, regexp_split_to_array(text, '{pattern}') AS ps FROM d))) WHERE length(v) >= {least} AND {also}"""
+
+
 ORACLE_SQL = {
+    "op2_ngram_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, array_to_string(ws, ' ') AS whole, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS gs FROM w),
+g AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ids AS (SELECT doc_id AS id FROM s), {_REACH}, c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(gs)::BIGINT AS n_shingles, CASE WHEN len(gs) > 0 THEN min(doc_id) OVER (PARTITION BY whole) ELSE doc_id END AS class_id, component_id FROM s JOIN c ON c.id = s.doc_id""",
+    "op3_secret_scan": f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(_found_sql(*k) for k in _KINDS)}),
+b AS (SELECT * FROM f WHERE kind <> 'bare'),
+o AS (SELECT * FROM f WHERE kind = 'bare' AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = f.doc_id AND b.s < f.e AND f.s < b.e)),
+live AS (SELECT v FROM (SELECT * FROM b UNION ALL SELECT * FROM o) GROUP BY v HAVING count(DISTINCT source) <= 2 AND count(DISTINCT doc_id) FILTER (source = '') <= 100),
+n AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS base,
+  count(DISTINCT v) FILTER (v IN (SELECT v FROM live)) AS n_live, count(DISTINCT v) FILTER (v NOT IN (SELECT v FROM live)) AS n_examples FROM b GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM (SELECT * FROM b UNION ALL SELECT * FROM o WHERE v IN (SELECT v FROM live)) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id)""",
+    "op5_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+ids AS (SELECT vec_id AS id FROM embeddings), {_REACH}, c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT c.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, c.id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.id""",
     "op6_substring_dedup": r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
