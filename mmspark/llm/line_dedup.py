@@ -11,7 +11,7 @@ otherwise.
 Plan: each page sends its distinct lines as 16-byte digests; they are counted
 by (host, line) with a map-side combine, so a line on every page of a hot host
 is summed before it meets in one task, and lines that do not repeat leave before
-they meet the hosts' totals.  A host has at most (lines a page) / max_ratio
+they meet the hosts' totals (sent to every task if they are few, else spread).  A host has at most (lines a page) / max_ratio
 boilerplate lines; they are written as one array a host.  If that table is small (its
 files are measured) it goes to every task and the texts are not shuffled at all.
 Beyond that the pages meet it by a join in which each hot host is dealt to as many
@@ -55,8 +55,9 @@ def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def boilerplate(pages: DataFrame, max_ratio: float = 0.3, repeats: int = 2, count_copies: bool = True) -> DataFrame:
+def boilerplate(pages: DataFrame, max_ratio: float = 0.3, repeats: int = 2, count_copies: bool = True, steps: Steps | None = None) -> DataFrame:
     """(site, common): the digests of each site's boilerplate lines, from (site, body); sites without any are left out."""
+    steps = steps or Steps(pages.sparkSession)
     digests = F.array_distinct(F.transform(F.filter(F.transform(F.split("body", "\n", -1), _trim), lambda x: x != ""), _digest))
     if count_copies:
         held = pages.select("site", F.explode(digests).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
@@ -69,8 +70,12 @@ def boilerplate(pages: DataFrame, max_ratio: float = 0.3, repeats: int = 2, coun
         held = texts.select("site", "whole", F.explode(digests).alias("line")).groupBy("site", "line", "whole").agg(F.count("*").alias("k"))
         held = held.groupBy("site", "line").agg(F.sum("k").alias("n"), F.count("*").alias("m")).where(F.col("m") >= repeats)
         often = (F.col("n") > max_ratio * F.col("pages")) & (F.col("m") > max_ratio * F.col("texts"))
-    sites = sites.withColumnRenamed("site", "of")
-    return held.join(sites, F.col("site").eqNullSafe(F.col("of"))).where(often).groupBy("site").agg(F.collect_list("line").alias("common"))
+    sites = steps.keep(sites.withColumn("key", F.xxhash64("site")))
+    if steps.small(sites):
+        met = held.join(F.broadcast(sites), "site")
+    else:  # a hot site has many lines
+        met = join_spread(steps.keep(held.withColumn("key", F.xxhash64("site"))), sites, "key", "line", on=["site"])
+    return met.where(often).groupBy("site").agg(F.collect_list("line").alias("common"))
 
 
 def line_dedup(pages: DataFrame, key: Column, text: str = "text", max_ratio: float = 0.3, repeats: int = 2, count_copies: bool = True) -> DataFrame:
@@ -80,7 +85,7 @@ def line_dedup(pages: DataFrame, key: Column, text: str = "text", max_ratio: flo
     body = _quoted(text).cast("string")
     # a site's name: not null, so that joins need no null-safe keys
     site = F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit(""))
-    common = steps.keep(boilerplate(pages.select(site.alias("site"), body.alias("body")), max_ratio, repeats, count_copies))
+    common = steps.keep(boilerplate(pages.select(site.alias("site"), body.alias("body")), max_ratio, repeats, count_copies, steps))
     rows = pages.select(site.alias("site"), body.alias("body"), F.struct(*map(_quoted, names)).alias("row"))
     if steps.small(common):
         met = rows.join(F.broadcast(common), "site", "left")
