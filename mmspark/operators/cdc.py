@@ -94,8 +94,9 @@ def final_state(log: DataFrame) -> DataFrame:
 
 
 def checkpoint_check(reported: Column, generated: Column, applied: Column) -> Column:
-    """struct(ok, error) of a reported checkpoint; a null state is an unknown shard."""
-    error = F.when(generated.isNull(), "unknown shard").when(reported > generated, "exceeds lastGenerated").when(reported <= applied, "not ahead of current lastApplied")
+    """struct(ok, error) of a reported checkpoint; a shard without a state, or with nothing generated and applied, is unknown."""
+    unknown = generated.isNull() | ((generated == 0) & (applied == 0))
+    error = F.when(unknown, "unknown shard").when(reported <= applied, "not ahead of current lastApplied").when(reported > generated, "exceeds lastGenerated")
     return F.struct(error.isNull().alias("ok"), error.alias("error"))
 
 
@@ -196,15 +197,16 @@ class Control:
         return self._done(shardId=shard, messages=messages, hasMore=bool(rows and rows[0]["has_more"]), lastSequence=rows[0]["last_sequence"] if rows else after)
 
     def checkpoint(self, shard: str = "", sequence: int = 0) -> dict:
-        """An unknown shard is one with nothing generated, so any sequence exceeds it."""
         if not shard:
             return self._failed(400, "missing required field: shardId")
         if sequence <= 0:
             return self._failed(400, "appliedSequence must be greater than 0")
         state = self.states.get(shard, {"generated": 0, "applied": 0})
-        if sequence > state["generated"]:
-            return self._failed(409, "exceeds lastGenerated")
+        if not state["generated"] and not state["applied"]:
+            return self._failed(409, f"unknown shard: {shard}")
         if sequence <= state["applied"]:
-            return self._failed(409, "not ahead of current lastApplied")
+            return self._failed(409, f"{sequence} is not ahead of current lastApplied {state['applied']}")
+        if sequence > state["generated"]:
+            return self._failed(409, f"{sequence} exceeds lastGenerated {state['generated']}")
         state["applied"] = sequence
         return self._done(acknowledged=True, shardId=shard, appliedSequence=sequence)

@@ -126,7 +126,7 @@ def states(spark, sf_dir):
 
 
 @query(f"""WITH {_STATES}, rp AS (SELECT unnest(['shard_0', 'shard_1', 'shard_2', 'shard_3', 'shard_9']) AS shard, unnest([1, 1000000, 1000000, 1, 1]) AS reported)
-SELECT shard, CASE WHEN last_generated IS NULL THEN 'unknown shard' WHEN reported > last_generated THEN 'exceeds lastGenerated' WHEN reported <= last_applied THEN 'not ahead of current lastApplied' END AS error, NOT (last_generated IS NULL OR reported > last_generated OR reported <= last_applied) AS ok FROM rp LEFT JOIN st USING (shard)
+SELECT shard, CASE WHEN last_generated IS NULL THEN 'unknown shard' WHEN reported <= last_applied THEN 'not ahead of current lastApplied' WHEN reported > last_generated THEN 'exceeds lastGenerated' END AS error, NOT (last_generated IS NULL OR reported > last_generated OR reported <= last_applied) AS ok FROM rp LEFT JOIN st USING (shard)
 UNION ALL SELECT shard, NULL, true FROM st""")
 def checkpoint_validate(spark, sf_dir):
     st = states(spark, sf_dir)

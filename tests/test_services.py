@@ -98,7 +98,7 @@ def test_control():
     assert status["isRunning"] and status["lagSeconds"] == 100.0 and status["totalPending"] == 50
     assert status["shardStates"][0] == {"shardId": "s1", "lastGenerated": 100, "lastApplied": 50, "pending": 50}
     assert [c.checkpoint(*x)["code"] for x in (("", 1), ("s1", 0), ("s1", 101), ("s1", 50), ("s9", 1), ("s1", 75), ("s1", 75), ("s1", 100))] == [400, 400, 409, 409, 409, 200, 409, 200]
-    assert c.checkpoint("s9", 1)["errorMessage"] == "exceeds lastGenerated"
+    assert c.checkpoint("s9", 1)["errorMessage"] == "unknown shard: s9" and "exceeds lastGenerated 100" in c.checkpoint("s1", 101)["errorMessage"]
     assert c.reset()["result"] == {"reset": True, "shardsReset": 2} and c.stop()["code"] == 200 and c.stop()["code"] == 409
 
 
@@ -110,6 +110,12 @@ def test_feed_route(spark):
     assert c.feed("")["code"] == 400 and c.feed("x")["result"]["messages"] == []
 
 
+def test_checkpoint_rules(spark):
+    rows = [(75, 100, 50), (100, 100, 50), (150, 100, 50), (75, 100, 75), (50, 100, 75), (1, 0, 0), (1, None, None)]
+    df = spark.createDataFrame(rows, "r long, g long, a long").select("*", cdc.checkpoint_check(F.col("r"), F.col("g"), F.col("a")).alias("v"))
+    assert [r.v.error for r in df.collect()] == [None, None, "exceeds lastGenerated", *["not ahead of current lastApplied"] * 2, "unknown shard", "unknown shard"]
+
+
 def test_status_report(spark):
     states = spark.createDataFrame([("a", 100, 90), ("b", 200, 150), ("c", 300, 280)], "shard string, last_generated long, last_applied long")
     report = cdc.status_report(states, True, 0, 0)
