@@ -135,6 +135,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
+def ascending(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; by a sort, which is quicker here than numpy's own unique of integers."""
+    s = np.sort(x)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+
+
+def members(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values of x are among the sorted ones."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

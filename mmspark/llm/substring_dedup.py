@@ -128,15 +128,15 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 6 << 2
     short = lambda h: h >> T.U(64 - width)
 
     def ask(table: pa.Table) -> pa.Table:
-        return X.ask(np.unique(short(_Chunk(table, window, key).hash)), table.column("chunk")[0].as_py(), bits, width)
+        return X.ask(T.ascending(short(_Chunk(table, window, key).hash)), table.column("chunk")[0].as_py(), bits, width)
 
     def claim(table: pa.Table, answers: pa.Table) -> pa.Table:
         none = pa.table({"owner": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("hashes", "words", "least")}})
         if not table.num_rows or not answers.num_rows:
             return none
         c = _Chunk(table, window, key)
-        unique, slot = np.unique(short(c.hash), return_inverse=True)
-        which = np.flatnonzero(X.read(answers, len(unique))[slot])
+        unique = T.ascending(short(c.hash))
+        which = np.flatnonzero(T.members(short(c.hash), unique[X.read(answers, len(unique))]))
         if not len(which):
             return none
         h, w, ids = c.hash[which], c.words_of(which), c.ids[c.doc[which]]
@@ -155,7 +155,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 6 << 2
         low, high, owner = (gone.column(x).to_pylist() for x in ("hashes", "words", "owner"))
         lost_h = np.concatenate([np.frombuffer(x, "<u8") + (T.U(o) << T.U(64 - bits)) for x, o in zip(low, owner, strict=True)]) if low else np.zeros(0, np.uint64)
         lost_w = np.frombuffer(b"".join(high), "<u8")
-        which = np.flatnonzero(c.shared_inside() | np.isin(c.hash, lost_h))
+        which = np.flatnonzero(c.shared_inside() | T.members(c.hash, np.sort(lost_h)))
         h, w, ids = c.hash[which], c.words_of(which), c.ids[c.doc[which]]
         order, begin = _classes(np.concatenate([h, lost_h]), np.concatenate([w, lost_w]))
         theirs = np.arange(len(order)) >= len(which)
@@ -182,7 +182,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, chunk_bytes: int = 6 << 2
         T.release()
         return pa.table({"doc_id": pa.array(c.ids, pa.int64()), "n_words": pa.array(np.concatenate(n_words), pa.int64()), "n_removed": pa.array(np.concatenate(n_removed), pa.int64()), "kept_text": pa.chunked_array(texts).cast(pa.string()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))})
 
-    tasks = -(-chunks // 4)
+    tasks = chunks
     dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")
     known = docs.where("doc_id is not null").select("doc_id", "text", dealt).repartition(tasks, "chunk")
     asked = known.groupBy("chunk").applyInArrow(ask, X.ASKED)
