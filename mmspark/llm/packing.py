@@ -9,10 +9,10 @@ into descending powers of two.  As every tier is a power of two, nothing needs
 padding.  Sequences, longest first, are then dealt to step groups of equally
 many tokens.
 
-Plan: documents go to buckets by a hash of id and text (one shuffle of the texts, to
-as many tasks as the bytes ask for) and each bucket is packed on its own, so no task
-holds more than a bucket at a time and a lost executor redoes the same buckets with the
-same result.
+Plan: documents go to buckets by a hash of id and text (one shuffle of the texts, a
+task a bucket) and each bucket is packed on its own, so no task holds more than a bucket
+and a lost executor redoes the same buckets with the same result.  Buckets have
+`bucket_bytes`, more only where that would make over a million of them.
 
 Edge cases: a null or empty text is one separator; repeated ids are documents
 of their own; a null id is an id like any other, and such rows are dealt by their texts;
@@ -92,7 +92,7 @@ def packed(docs: DataFrame, vocabulary: str, separator: int = 2, tiers: tuple[in
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text") + 16).alias("b")).first()["b"] or 0
-    n = int(max(1, -(-total // bucket_bytes)))
+    n = int(max(1, -(-total // max(bucket_bytes, total // 1_000_000))))
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -114,5 +114,5 @@ def packed(docs: DataFrame, vocabulary: str, separator: int = 2, tiers: tuple[in
         cols = [np.array(x, np.int64) for x in zip(*rows, strict=True)]
         return pa.table([table.column("doc_id").take(pa.array(cols[0])), *map(pa.array, cols[1:])], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long").alias("bucket")
-    return docs.select("doc_id", "text", bucket).repartition(-(-n // 4), "bucket").groupBy("bucket").applyInArrow(run, SCHEMA)
+    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("bucket")
+    return docs.select("doc_id", "text", bucket).repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(run, SCHEMA)
