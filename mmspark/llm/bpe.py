@@ -38,6 +38,9 @@ from mmspark.llm._spark import ready
 LEAF = 256
 #: Letters whose lower case is one letter and that normalisation leaves alone, then ASCII punctuation without the apostrophe.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(33)]
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies: itself where it prints, else the next free code point from 256."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -62,7 +65,7 @@ class Codec:
         self.width = [len(x.removesuffix(self.suffix)) for x in self.names]
         #: a token with the blank that follows it; from `size` on without, for the last of a text
         self.spoken = pa.array([x + " " for x in self.names] + self.names, pa.large_string())
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.cache_words = cache_words
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
@@ -125,7 +128,7 @@ class Codec:
         if m := _PLAIN.fullmatch(w):
             core = m[1].lower()
             if not core.isascii():
-                core = "".join(self.letters[b] for b in core.encode())
+                core = core.encode().decode("latin-1").translate(self.letters)
             return self.piece(core) + self.piece(m[2]) if m[2] else self.piece(core)
         if "<|" in w:  # perhaps a special token
             return self.tok.encode(w, add_special_tokens=False).ids
@@ -136,7 +139,7 @@ class Codec:
         """The ids of a part, as bytes."""
         s = b.decode("utf-8")
         ids = [t.id for t in self.model.tokenize(s)] if len(b) <= LEAF and s.isascii() and s.isalpha() and s.islower() else self.word(s)
-        got = struct.pack(f"<{len(ids)}I", *ids)
+        got = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
         if len(b) <= 1024:
             if len(self.words) >= self.cache_words:
                 self.words.clear()
