@@ -35,7 +35,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"), Settings(words=3, percent=90))
+    return ngram_join(table(spark, sf_dir, "documents"), Settings(words=3, percent=90, count_links=True))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +104,8 @@ WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(
 s AS (SELECT doc_id, array_to_string(ws, ' ') AS whole, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS gs FROM w),
 g AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS x FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
-ids AS (SELECT doc_id AS id FROM s), {_REACH}, c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
-SELECT doc_id, len(gs)::BIGINT AS n_shingles, CASE WHEN len(gs) > 0 THEN min(doc_id) OVER (PARTITION BY whole) ELSE doc_id END AS class_id, component_id FROM s JOIN c ON c.id = s.doc_id""",
+ids AS (SELECT doc_id AS id FROM s), {_REACH}, c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT doc_id, len(gs)::BIGINT AS n_shingles, CASE WHEN len(gs) > 0 THEN min(doc_id) OVER (PARTITION BY whole) ELSE doc_id END AS class_id, component_id, coalesce(n.n, 0)::BIGINT AS n_links FROM s JOIN c ON c.id = s.doc_id LEFT JOIN n ON n.a = s.doc_id""",
     "op3_secret_scan": f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
 f AS ({" UNION ALL ".join(_found_sql(*k) for k in _KINDS)}),

@@ -25,6 +25,12 @@ def join(rows, k, percent):
     return {i: (len(s), comp[i]) for i, s in sets.items()}
 
 
+def links(rows, k, percent):
+    """doc_id -> number of other documents linked with it."""
+    sets = {i: shingles(t, k) for i, t in rows}
+    return {i: sum(i != j and 100 * len(x & y) >= percent * len(x | y) for j, y in sets.items()) if x else 0 for i, x in sets.items()}
+
+
 def substrings(rows, window):
     """doc_id -> (words, removed, kept text)."""
     words = {i: WORD.findall(t or "") for i, t in rows}

@@ -55,6 +55,24 @@ def test_ngram_join(spark, words, percent, rare):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.join(rows, words, percent)
 
 
+@pytest.mark.parametrize("words,percent,rare", [(3, 90, 4), (1, 50, 4)])
+def test_ngram_join_counts_links(spark, words, percent, rare):
+    rows = corpus()
+    copies = [(9000 + i, t) for i, t in rows[:25]] + [(9900, None), (9901, " "), (9902, "w1"), (9903, "w1")]
+    found = ngram_join(table(spark, [(i, t, None, None) for i, t in rows + copies]), Settings(words, percent, rare=rare, block_docs=20, count_links=True)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.join(rows + copies, words, percent)
+    assert {r.doc_id: r.n_links for r in found} == brute.links(rows + copies, words, percent)
+
+
+def test_ngram_join_counts_links_edges(spark):
+    s = Settings(count_links=True)
+    assert ngram_join(table(spark, []), s).collect() == []
+    text = "one two three four five six seven"
+    rows = table(spark, [(None, text, None, None), (4, text, None, None), (4, text, None, None), (5, text, None, None), (None, "alone in the whole wide table", None, None), (None, None, None, None)])
+    found = sorted(map(tuple, ngram_join(rows, s).select("doc_id", "n_links").collect()), key=str)
+    assert found == [(4, 1), (4, 1), (5, 1), (None, 0), (None, 0), (None, 1)]
+
+
 def test_ngram_join_small_sets(spark):
     rows = [(i, f"a x{i} y{i}") for i in range(40)] + [(100 + i, f"b{i % 7}") for i in range(30)] + [(200, "a"), (201, "a b"), (202, "a a"), (203, "b a b a")]
     for words, percent in ((1, 20), (1, 50), (2, 34), (1, 90)):
