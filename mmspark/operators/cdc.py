@@ -56,19 +56,32 @@ class Applied:
     totals: DataFrame
 
 
-def apply_closed_form(messages: DataFrame, satellites: list[str] = ()) -> Applied:
+def _arrivals(first: DataFrame, width: int) -> DataFrame:
+    """Add to (shard, sequence, first): `rank` in the shard, `at` and `before`, the largest first arrivals up to a sequence and before it.
+
+    Like `sequenced`: inside ranges of `width` sequences, then with what the ranges before them hold.
+    """
+    rows = first.withColumn("cell", F.floor(F.col("sequence") / width))
+    earlier = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("shard", "cell").agg(F.count("*").alias("n"), F.max("first").alias("most"))
+    cells = cells.select("shard", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"), F.max("most").over(earlier).alias("most"))
+    inside = Window.partitionBy("shard", "cell").orderBy("sequence")
+    local = rows.select("*", F.row_number().over(inside).alias("rn"), F.max("first").over(inside).alias("here"), F.max("first").over(inside.rowsBetween(Window.unboundedPreceding, -1)).alias("there"))
+    return local.join(cells, ["shard", "cell"]).select("shard", "sequence", "first", (F.col("n") + F.col("rn")).alias("rank"), F.greatest("most", "here").alias("at"), F.greatest("most", "there").alias("before"))
+
+
+def apply_closed_form(messages: DataFrame, satellites: list[str] = (), width: int = 1 << 16) -> Applied:
     """What the idempotent applier does with messages (shard, pos, sequence, collection, payload) in the order of pos.
 
     Sequences apply in order; one that comes early waits, and a later copy
     replaces it while it waits.  A sequence is applied at the moment its last
-    predecessor arrives, the running maximum of first arrivals.
+    predecessor arrives, the running maximum of first arrivals, which is taken in
+    ranges of `width` sequences, so a hot shard is not one task.
     """
     skipped = F.col("collection").isin(*satellites) if satellites else F.lit(False)
     live = messages.where(~skipped)
     first = live.where("sequence > 0").groupBy("shard", "sequence").agg(F.min("pos").alias("first"))
-    by_sequence = Window.partitionBy("shard").orderBy("sequence")
-    known = first.withColumn("rank", F.row_number().over(by_sequence)).withColumn("at", F.max("first").over(by_sequence)).withColumn("before", F.lag("at").over(by_sequence))
-    known = known.withColumn("applied", F.col("sequence") == F.col("rank"))
+    known = _arrivals(first, width).withColumn("applied", F.col("sequence") == F.col("rank"))
     copies = live.join(known, ["shard", "sequence"], "left")
     waiting = F.col("first") <= F.coalesce("before", F.lit(-1))
     candidate = copies.where("applied").where(F.when(waiting, F.col("pos") < F.col("before")).otherwise(F.col("pos") == F.col("first")))

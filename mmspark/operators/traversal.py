@@ -1,4 +1,4 @@
-"""Traversals, path enumeration and shortest paths by unrolled frontier joins.
+"""Traversals, path enumeration and shortest paths by unrolled frontier joins.
 
 Paths never visit a vertex twice.  Each hop is one equi-join of the frontier
 with the edges.  The edges of a disjoint graph are stored by prefix (``write_edges``), and
@@ -55,6 +55,17 @@ def paths(edges: DataFrame, start: str, min_depth: int, max_depth: int, directio
     return out
 
 
+def smart_hop(frontier: DataFrame, steps: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """One hop of (vertex, depth, path) as the shard of a prefix takes it: (its own vertices' next steps, the others, which wait for their shards).
+
+    `steps` are (src, dst); only those of the prefix are read.  A vertex without a handle waits.
+    """
+    local = F.coalesce(step_prefix(F.col("vertex")) == prefix, F.lit(False))
+    own = steps.where(step_prefix(F.col("src")) == prefix)
+    grown = frontier.where(local).join(own, F.col("vertex") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+    return grown.select(F.col("dst").alias("vertex"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("dst")).alias("path")), frontier.where(~local)
+
+
 def enumerate_paths(edges: DataFrame, start: str, target: str, min_depth: int, max_depth: int, direction: str = "OUTBOUND") -> DataFrame:
     """The paths that end at the target."""
     return paths(edges, start, min_depth, max_depth, direction).where(F.col("vertex") == target)

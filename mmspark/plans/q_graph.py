@@ -174,6 +174,16 @@ def traverse_any_2(spark, sf_dir):
     return V.paths(stored(trade(spark, sf_dir).select("_from", "_to"), "edges"), _start(spark, sf_dir), 0, 2, "ANY").groupBy("vertex", "depth").agg(F.count("*").alias("paths"))
 
 
+@query(f"""WITH RECURSIVE {E_SQL}, st AS (SELECT _from AS src, _to AS dst FROM t UNION SELECT _to, _from FROM t), {_sql_from_start('st', 2)}, h AS (SELECT split_part(split_part((SELECT vertex FROM w WHERE depth = 0), '/', 2), ':', 1) AS here)
+SELECT 'expanded' AS step, vertex, count(*) AS paths FROM w, h WHERE depth = 2 AND split_part(split_part(path[2], '/', 2), ':', 1) = here GROUP BY ALL UNION ALL SELECT 'queued', vertex, count(*) FROM w, h WHERE depth = 1 AND split_part(split_part(vertex, '/', 2), ':', 1) <> here GROUP BY ALL""")
+def smart_dispatch(spark, sf_dir):
+    """The second hop at the start's shard: what it expands itself, and what it leaves to other shards."""
+    edges, start = stored(trade(spark, sf_dir).select("_from", "_to"), "edges"), _start(spark, sf_dir)
+    expanded, queued = V.smart_hop(V.paths(edges, start, 1, 1, "ANY"), V.oriented(edges, "ANY"), V.prefix_of(start))
+    named = lambda df, step: df.groupBy("vertex").agg(F.count("*").alias("paths")).select(F.lit(step).alias("step"), "vertex", "paths")
+    return named(expanded, "expanded").unionByName(named(queued, "queued"))
+
+
 @query(f"WITH RECURSIVE {E_SQL}, st AS (SELECT _from AS src, _to AS dst FROM e), {_sql_from_start('st', 3)} SELECT depth, array_to_string(path, '>') AS path FROM w WHERE vertex = 'region/ASIA'")
 def enumerate_paths(spark, sf_dir):
     return V.enumerate_paths(stored(chain(spark, sf_dir).select("_from", "_to"), "edges"), _start(spark, sf_dir), "region/ASIA", 1, 3).select("depth", F.array_join("path", ">").alias("path"))

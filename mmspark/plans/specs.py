@@ -1,6 +1,7 @@
 """Plan data: graphs, satellites, traversal nodes, the top-k pattern rule, follower reads, options."""
 
 from dataclasses import asdict, dataclass, field, replace
+from sys import getsizeof
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +70,9 @@ class TraversalSpec:
     min_depth: int = 1
     max_depth: int = 1
     shards: dict[str, str] = field(default_factory=dict)
+    satellite: bool = False
+    one_shard: bool = False
+    local: bool = True
 
     def to_data(self) -> dict:
         return asdict(self)
@@ -87,6 +91,10 @@ class TraversalSpec:
     def kind(self) -> str:
         return NODE_TYPES[self.node_type]
 
+    def memory_bytes(self) -> int:
+        """An estimate: the node, its graph's name and its shard names."""
+        return getsizeof(self) + sum(len(x.encode()) for kv in self.shards.items() for x in kv) + len(self.graph.encode())
+
     def runs_on_one_shard(self, fixed_start: bool) -> bool:
         """A smart graph and a known start: the work stays on the start's shard."""
         return self.smart and fixed_start
@@ -141,8 +149,15 @@ def allows_dirty_read(headers: dict[str, str], name: str) -> bool:
     return headers.get(name, "").lower() == "true"
 
 
-def fresh_enough(lag_ms: Column, max_lag_ms: int) -> Column:
-    """Whether a follower may serve; a bound of 0 never lets it."""
+def dirty_read_headers(follower_used: bool, name: str) -> dict[str, str]:
+    """What an answer says of itself: the header, if a follower may have served it."""
+    return {name: "true"} if follower_used else {}
+
+
+def fresh_enough(lag_ms: Column, max_lag_ms: int, eventual: bool = False) -> Column:
+    """Whether a follower may serve: always if reads need only be consistent in the end, else within the bound, of which 0 never lets it."""
+    if eventual:
+        return F.lit(True)
     return (lag_ms <= max_lag_ms) if max_lag_ms > 0 else F.lit(False)
 
 

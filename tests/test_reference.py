@@ -83,11 +83,12 @@ def simulate(messages):
     return applied, duplicates, len(waiting)
 
 
-def test_closed_form_of_the_applier(spark):
+@pytest.mark.parametrize("width", [3, 1 << 16])
+def test_closed_form_of_the_applier(spark, width):
     rnd = random.Random(8)
     logs = {f"s{k}": [(rnd.randint(0, 8), f"p{j}") for j in range(rnd.randint(1, 14))] for k in range(150)}
     df = spark.createDataFrame([(k, j, s, "c", p) for k, log in logs.items() for j, (s, p) in enumerate(log)], "shard string, pos long, sequence long, collection string, payload string")
-    done = cdc.apply_closed_form(df)
+    done = cdc.apply_closed_form(df, width=width)
     won = {(r.shard, r.sequence): r.payload for r in done.winners.collect()}
     totals = {r.shard: (r.applied, r.duplicates, r.buffered) for r in done.totals.collect()}
     for k, log in logs.items():

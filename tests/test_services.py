@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mmspark.functions import similarity
 from mmspark.functions.text import AnalyzerConfig, normalize, tokenize
 from mmspark.operators import cdc, indexing, search, traversal
-from mmspark.plans.specs import CdcOptions, TraversalSpec
+from mmspark.plans.specs import CdcOptions, TraversalSpec, dirty_read_headers, fresh_enough
 from mmspark.sources import backup
 from mmspark.sources.folders import shared, write_text
 from mmspark.streaming import applier
@@ -90,6 +90,16 @@ def test_prefix_partitions(spark):
     assert traversal.shortest_path(line, "v/0", "v/6", max_depth=3).collect() == [] and traversal.shortest_path(line, "v/0", "v/0").first().depth == 0
 
 
+def test_smart_hop(spark):
+    edges = spark.createDataFrame([("v/eu:1", "v/eu:2"), ("v/eu:1", "v/us:2"), ("v/us:2", "v/us:3"), ("v/eu:2", "v/eu:1"), ("v/eu:2", "v/eu:3")], "_from string, _to string")
+    frontier = traversal.paths(edges, "v/eu:1", 1, 1)
+    done, waiting = traversal.smart_hop(frontier, traversal.oriented(edges, "OUTBOUND"), "eu")
+    assert [(r.vertex, r.depth, r.path) for r in done.collect()] == [("v/eu:3", 2, ["v/eu:1", "v/eu:2", "v/eu:3"])]
+    assert [r.vertex for r in waiting.collect()] == ["v/us:2"]
+    there, none = traversal.smart_hop(waiting, traversal.oriented(edges, "OUTBOUND"), "us")
+    assert [r.vertex for r in there.collect()] == ["v/us:3"] and none.isEmpty()
+
+
 def test_control():
     c = cdc.Control(states={"s1": {"generated": 100, "applied": 50}, "s2": {"generated": 5, "applied": 5}}, sent=20, acked=10, clock=lambda: 7.5)
     assert c.route("start") == {"error": False, "code": 200, "result": {"started": True, "timestamp": 7, "previousState": "stopped"}}
@@ -186,5 +196,9 @@ def test_options_and_flags():
     with pytest.raises(ValueError):
         CdcOptions(enabled=True)
     assert CdcOptions(enabled=True, target="x").batch_size == 1000
+    spec = TraversalSpec(graph="g", satellite=True, one_shard=True)
+    assert TraversalSpec.from_data(spec.to_data()) == spec and spec.local and spec.memory_bytes() > TraversalSpec().memory_bytes()
+    assert dirty_read_headers(True, "h") == {"h": "true"} and dirty_read_headers(False, "h") == {}
+    assert str(fresh_enough(F.lit(9), 0, eventual=True)) == str(F.lit(True))
     assert TraversalSpec(smart=True).runs_on_one_shard(True) and not TraversalSpec().runs_on_one_shard(True)
     assert json.loads(applier.checkpoint_text({"a": 1})) == {"version": 1, "shards": {"a": 1}}
