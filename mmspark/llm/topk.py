@@ -40,7 +40,8 @@ def pack_bits(mask: np.ndarray) -> np.ndarray:
     """Booleans along the last axis to 64-bit words."""
     pad = -mask.shape[-1] % 64
     mask = np.concatenate([mask, np.zeros((*mask.shape[:-1], pad), bool)], -1)
-    return np.packbits(mask, axis=-1, bitorder="little").view(np.uint64)
+    # a transposed mask padded by a single column stays transposed, and so does what packbits makes of it
+    return np.ascontiguousarray(np.packbits(mask, axis=-1, bitorder="little")).view(np.uint64)
 
 
 class SlicedIndex:
