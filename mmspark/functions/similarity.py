@@ -1,6 +1,8 @@
 """MinHash signatures and Jaccard similarity."""
 
 import re
+from itertools import combinations, pairwise
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mmspark.functions.hashing import MERSENNE, permutation_seeds
+from mmspark.sources.folders import stored
 
 DEFAULT_K, MAX_K = 128, 4096
 #: A slot of an empty set: all 64 bits set.
@@ -185,18 +188,43 @@ def similarity_classes(df: DataFrame, key: str, signature: str) -> DataFrame:
     return df.select(key, signature).join(least, F.col(signature) == F.col("__s"), "left").select(key, "class_id")
 
 
+#: Slots that a key of the join should have, and the most keys of a class for that.
+KEY_SLOTS, KEYS = 5, 64
+
+
+def slot_keys(k: int, need: int) -> tuple[list[list[int]], list[list[int]]]:
+    """([first slot, slots] of the groups that k slots are cut into, the sets of groups that make a key each).
+
+    Signatures that share `need` slots differ in k - need groups at most, so
+    with g groups more than that they share g whole groups, hence a key.  One slot
+    alone is often the hash of a word that a large part of all texts has.
+    """
+    miss = max(0, k - need)
+    g = next((g for g in range(1, k - miss) if k * g >= KEY_SLOTS * (miss + g) or comb(miss + g + 1, g + 1) > KEYS), k - miss)
+    cuts = [k * i // (miss + g) for i in range(miss + g + 1)]
+    return [[a + 1, b - a] for a, b in pairwise(cuts)], [list(c) for c in combinations(range(miss + g), g)]
+
+
+def candidates(classes: DataFrame, signature: str, k: int, need: int) -> DataFrame:
+    """(id1, id2), each once: the pairs of (rep, signature) that share a key, so all that share `need` slots."""
+    groups, sets = slot_keys(k, need)
+    parts = classes.select("rep", F.transform(F.lit(groups), lambda c: F.xxhash64(c[0], F.slice(signature, c[0], c[1]))).alias("parts"))
+    keys = parts.select("rep", F.explode(F.transform(F.lit(sets), lambda c: F.xxhash64(F.transform(c, lambda i: F.col("parts")[i])))).alias("key"))
+    a, b = (keys.select(F.col("rep").alias(f"id{x}"), "key") for x in "12")
+    return a.join(b.hint("merge"), "key").where(F.col("id1") < F.col("id2")).select("id1", "id2").distinct()
+
+
 def similarity_join(df: DataFrame, key: str, signature: str, threshold: float, k: int) -> DataFrame:
     """(id1, id2, similarity) of the pairs of classes whose estimate reaches the threshold (> 0), id1 < id2.
 
     A class is named by its smallest key (see similarity_classes).  A pair shares
-    round(threshold * k) slots or more, so it shares one of any
-    k - that + 1 slots: only those are joined.  Empty signatures are one
-    class and in no pair.
+    round(threshold * k) slots or more, so it shares a key (see slot_keys); the
+    estimate of each pair with a common key decides.  Empty signatures are one
+    class and in no pair.  Signatures and classes are written once.
     """
     need = max(1, int(np.ceil(threshold * k - 1e-9)))
-    classes = df.where(F.col(signature).isNotNull() & (F.element_at(signature, 1) != EMPTY)).groupBy(signature).agg(F.min(key).alias("rep"))
-    slots = classes.select("rep", signature, F.posexplode(F.slice(signature, 1, k - need + 1)).alias("slot", "value"))
-    a, b = (slots.select(F.col("rep").alias(f"id{x}"), F.col(signature).alias(f"s{x}"), "slot", "value") for x in "12")
-    # a pair counts at the first slot that it shares, so it comes once without a distinct
-    first = F.array_position(F.zip_with("s1", "s2", lambda x, y: x == y), True) == F.col("slot") + 1
-    return a.join(b, ["slot", "value"]).where((F.col("id1") < F.col("id2")) & first).select("id1", "id2", estimate_jaccard(F.col("s1"), F.col("s2")).alias("similarity")).where(F.col("similarity") >= threshold)
+    signed = stored(df.select(key, signature), "signatures")
+    classes = stored(signed.where(F.col(signature).isNotNull() & (F.element_at(signature, 1) != EMPTY)).groupBy(signature).agg(F.min(key).alias("rep")), "classes")
+    one, two = (classes.select(F.col("rep").alias(f"id{x}"), F.col(signature).alias(f"s{x}")).hint("merge") for x in "12")
+    pairs = candidates(classes, signature, k, need).join(one, "id1").join(two, "id2")
+    return pairs.select("id1", "id2", estimate_jaccard(F.col("s1"), F.col("s2")).alias("similarity")).where(F.col("similarity") >= threshold)
